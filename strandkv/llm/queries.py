@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_groups
 from .packing import pack
 from .quality import quality
 from .token_binary import round_trip
+from .toxicity import toxicity
 
 #: Read in place on every machine; never copied.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held_out():
+        return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = toxicity(documents(spark, sf_dir), labels, ~held_out())
+    return got.withColumn("held_out", held_out())
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), WORD_TOKENIZER, 4096, 1)
 
@@ -33,6 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_binary": op4_token_binary,
