@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .html_text import extract
 from .packing import pack
+from .pii import personal_data
 from .quality import quality
 from .token_binary import round_trip
 from .toxicity import toxicity
@@ -38,6 +40,14 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), WORD_TOKENIZER, 2)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality(documents(spark, sf_dir, "doc_id", "text", "source"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_left_words")
@@ -48,6 +58,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_binary": op4_token_binary,
+    "op7_html_extraction": op7_html_extraction,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
