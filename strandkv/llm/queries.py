@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_documents
 from .common import documents
 from .exact_dedup import exact_groups
 from .html_text import extract
@@ -17,6 +18,7 @@ from .toxicity import toxicity
 
 #: Read in place on every machine; never copied.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,10 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), WORD_TOKENIZER, 2)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_binary": op4_token_binary,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_html_extraction": op7_html_extraction,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
