@@ -10,6 +10,7 @@ from .byte_bpe import encode_documents
 from .common import documents
 from .exact_dedup import exact_groups
 from .html_text import extract
+from .jaccard import components
 from .packing import pack
 from .pii import personal_data
 from .quality import quality
@@ -50,6 +51,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(documents(spark, sf_dir), 3, 90)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_token_binary": op4_token_binary,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_html_extraction": op7_html_extraction,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
