@@ -14,6 +14,7 @@ from .jaccard import components
 from .packing import pack
 from .pii import personal_data
 from .quality import quality
+from .suffix_dedup import remove_repeats
 from .token_binary import round_trip
 from .toxicity import toxicity
 
@@ -47,6 +48,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), 50)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_binary": op4_token_binary,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
