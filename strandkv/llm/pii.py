@@ -393,8 +393,11 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def personal_data(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans (and masked_text)."""
+def personal_data(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text", masked: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans (and masked_text).
+
+    carry: string columns of ``docs`` that the result keeps.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((tagger or trained()).p)
 
@@ -408,8 +411,8 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "
             cols += [pa.array([hashlib.sha256(_digest(x).encode()).hexdigest() for x in bases]), pa.array([_digest(x) for x in spans], pa.string())]
             if masked:
                 cols.append(pa.array([mask(t, s) for t, s in zip(texts, spans)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols + b.columns[2:], names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"] + ["masked_text"] * masked
-    kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked_text string" * masked
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"] + ["masked_text"] * masked + list(carry)
+    kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked_text string" * masked + "".join(f", `{c}` string" for c in carry)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, kind)

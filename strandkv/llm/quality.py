@@ -88,3 +88,9 @@ def quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", l
     df = df.withColumn("clean_text", F.when(F.col("n_removed_lines") == 0, F.col("_q_text")).otherwise(left))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_left_words") >= least_left_percent * F.col("n_words")))
     return df.drop("_q_host", "_q_over", "_q_gone", "_q_lines", "_q_text")
+
+
+def kept(got: DataFrame) -> DataFrame:
+    """The rows of ``quality`` that are kept. The row number keeps the optimizer from pushing the filter below the
+    projections, where it would copy their expressions into itself again and again."""
+    return got.withColumn("_q_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_q_row") >= 0)).drop("_q_row")
