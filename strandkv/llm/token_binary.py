@@ -1,6 +1,6 @@
 r"""Token ids as binary blocks: frequency-ranked ids, one to four bytes each, lengths in separate control bytes.
 
-A first pass counts every id of the corpus; ids are ranked by falling count, so the 256 most frequent take one byte.
+Every text is encoded once and every id of the corpus counted; ids are ranked by falling count, so the 256 most frequent take one byte.
 Each id's byte length is two bits in a control stream, four ids to a control byte, and the data bytes follow in a
 stream of their own; a document starts at a control byte. Decoding looks each control byte up in a 256-entry table.
 
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shared_dir, shuffle_parts, small_batches
-from .tokens import ChunkEncoder
+from .common import remove, shared_dir, shuffle_parts, small_batches, stage
+from .tokens import ChunkEncoder, vocabulary
 
 MAGIC = b"TIDX1\0\0\0"
 _SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)  # lengths by control byte
@@ -85,35 +85,31 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [None if x else int(i) for i, x in zip(ids, none)], counts, ranks
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int | None, text_col: str = "text") -> np.ndarray:
-    """Occurrences of every id over all texts; one row for each task and id met is shuffled."""
+def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
+    """doc_id, ids: little-endian ids of each text, two bytes each if the vocabulary allows, else four."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = ChunkEncoder.shared(path)
+        end = np.array([] if end_id is None else [end_id], enc.dtype).tobytes()
+        for b in batches:
+            ids = [x.tobytes() + end for x in enc.encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-        enc, total, texts = ChunkEncoder.shared(path), np.zeros(1 << 16, np.int64), 0
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 
-        def add(seen: Counter) -> None:
-            long = enc.learn(set(seen))
-            for c, n in seen.items():
-                ids = np.frombuffer(enc.known[c], enc.dtype)
-                if len(ids):
-                    np.add.at(total, ids, n)
-            enc.forget(long)
 
+def id_counts(ids: DataFrame, dtype: np.dtype, size: int) -> np.ndarray:
+    """Occurrences of every id over all documents; one row for each task and id met is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for b in batches:
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                seen.update((t or "").replace("\n", " ").split(" "))
-            texts += b.num_rows
-            add(seen)
-        if end_id is not None:
-            total[end_id] += texts
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << 16, np.int64)
+    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(size, np.int64)
     for r in rows:  # at most one row for each id of the vocabulary
         out[r["id"]] = r["n"]
     return out
@@ -125,7 +121,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None, id
     small_batches(spark)
     parts = parts or shuffle_parts(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = id_counts(docs, path, end_id)
+    dtype, size = ChunkEncoder.shared(path).dtype, vocabulary(path) + (end_id or 0) + 1
+    # encoding costs most, so its result is kept while ids are counted and then coded
+    tokens = stage(encoded(docs, path, end_id), "token-ids", compression="zstd")
+    counts = id_counts(tokens, dtype, size)
     order = np.argsort(-counts, kind="stable")
     rank_of = np.empty(len(order), np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
@@ -134,14 +133,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None, id
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()["q"] or []
     cuts = np.unique(np.array(cuts[: parts - 1], np.int64))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder.shared(path)
-        end = np.array([] if end_id is None else [end_id], enc.dtype)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            got = [np.concatenate([x, end]) for x in enc.encode(b.column(1).to_pylist())]
+            got = [np.frombuffer(x, dtype) for x in b.column(1).to_pylist()]
             packed = [pack(rank_of[x]) for x in got]
-            part = np.searchsorted(cuts, [-(2**63) if i is None else i for i in ids], "right")
+            part = np.searchsorted(cuts, b.column(0).fill_null(-(2**63)).to_numpy(), "right")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["p", "doc_id", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +158,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None, id
         if rows:
             yield out()
 
-    coded = docs.mapInArrow(encode, "p int, doc_id long, n long, control binary, data binary")
+    coded = tokens.mapInArrow(code, "p int, doc_id long, n long, control binary, data binary")
     placed = coded.repartitionById(len(cuts) + 1, F.col("p")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "data")
     placed.mapInArrow(blocks, "shard int, block int, start_in_shard long, n_docs long, n_ids long, payload binary").write.parquet(f"{folder}/blocks", compression="none")
 

@@ -6,22 +6,31 @@ in a row. A process keeps the ids of the chunks it has met, up to a bound; the l
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 
 import numpy as np
 
 _SHARED: dict = {}
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_PLAIN = "\u0250"  # below: no combining marks, and each letter's lower case is one letter (but for U+0130)
 
 
 class ChunkEncoder:
     """Ids of whole texts; ``keep`` bounds the number of chunks remembered, each of at most ``longest`` characters."""
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # the same merges without the rules that lower-cased letters pass unchanged
+        bare = json.loads(self.library.to_str())
+        split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": split, "post_processor": None, "added_tokens": []}))
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep, self.longest, self.known = keep, longest, {}
 
     @classmethod
@@ -31,20 +40,38 @@ class ChunkEncoder:
         return _SHARED[path]
 
     def learn(self, chunks: set[str]) -> list[str]:
-        """Encodes unknown chunks; gives those too long to be remembered, for ``forget``."""
-        new = [c for c in chunks if c not in self.known]
-        long = []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, self.dtype).tobytes()
-                if len(c) > self.longest:
-                    long.append(c)
-        return long
+        """Encodes unknown chunks; gives those too long to be remembered, for ``forget``.
+
+        The rules part letters from the punctuation after them and lower-case them, so a chunk of plain letters and
+        punctuation is put together from its lower-case letters and its punctuation, which many chunks share.
+        """
+        known, made, need, letters = self.known, [], set(), set()
+        for c in chunks:
+            if c in known:
+                continue
+            core = c.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or (max(core) < _PLAIN and "\u0130" not in core)):
+                low, tail = core.lower(), c[len(core) :]
+                made.append((c, low, tail))
+                letters.add(low)
+                need.add(tail)
+            else:
+                need.add(c)
+        new = []
+        for library, group in ((self.library, need), (self.bare, letters)):
+            own = [c for c in group if c not in known]
+            for at in range(0, len(own), 20_000):
+                part = own[at : at + 20_000]
+                for c, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
+                    known[c] = array(self.code, e.ids).tobytes()
+            new += own
+        for c, low, tail in made:
+            known[c] = known[low] + known[tail]
+        return [c for c in [*new, *(m[0] for m in made)] if len(c) > self.longest]
 
     def forget(self, long: list[str]) -> None:
         for c in long:
-            del self.known[c]
+            self.known.pop(c, None)
         if len(self.known) > self.keep:
             self.known.clear()
 
