@@ -28,22 +28,28 @@ from .tokens import ChunkEncoder
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most worth that fits, and how often each size is taken."""
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    small = int(sizes.min())
-    for c in range(small, capacity + 1):
-        ok = sizes <= c
-        got = np.where(ok, value[c - np.where(ok, sizes, c)] + worth, -1.0)
-        k = int(got.argmax())
-        if got[k] > value[c - 1] + 1e-12:
-            value[c], choice[c] = got[k], k
-        else:
-            value[c] = value[c - 1]
+    """Unbounded knapsack: the most worth that fits, and how often each size is taken. Round by round one item more is
+    allowed, so a round is a few vector operations over all capacities."""
+    value, choices = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        best, choice = value, np.full(capacity + 1, -1, np.int16)
+        now = np.zeros(capacity + 1)
+        for k, (s, y) in enumerate(zip(sizes.tolist(), worth.tolist())):
+            if y <= 0:
+                continue
+            got = best[: capacity + 1 - s] + y
+            better = got > now[s:] + 1e-12
+            now[s:][better] = got[better]
+            choice[s:][better] = k
+        if not (now > value + 1e-12).any():
+            break
+        keep = value > now
+        choice[keep] = -1
+        value = np.maximum(now, value)
+        choices.append(choice)
     takes, c = np.zeros(len(sizes), np.int64), capacity
-    while c >= small:
-        if choice[c] < 0:
-            c -= 1
-        else:
+    for choice in reversed(choices):
+        if choice[c] >= 0:
             takes[choice[c]] += 1
             c -= int(sizes[choice[c]])
     return float(value[capacity]), takes
