@@ -16,6 +16,8 @@ Sorting every suffix of the corpus would send each many times, so only those tha
    documents above the least id among them are marked.
 4. Marks go back to their documents, where the covered bytes are removed.
 
+Copies of a whole text are found first by digest: only the document of least id is searched, the others lose all.
+
 Cases: null text counts as empty; a null id counts as larger than any other; rows that repeat an id are one document
 for this purpose and don't remove each other's bytes; texts shorter than ``length`` stay; an empty table gives an empty
 result; extra columns are ignored.
@@ -35,7 +37,7 @@ from .common import shuffle_parts, small_batches, stage
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-GRAM = 16
+GRAM = 24
 NULL_ID = 2**63 - 1
 
 
@@ -73,7 +75,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         return np.empty(0, np.int64), np.empty(0, U)
     e = eights(data)
     with np.errstate(over="ignore"):
-        h = _mix(e[: n - GRAM + 1] * _A + _mix(e[8 : n - GRAM + 9]))
+        h = _mix(e[: n - GRAM + 1] * _A)
+        for k in range(8, GRAM, 8):
+            h = _mix(h ^ (e[k : n - GRAM + 1 + k] * _B + U(k)))
     low = _sliding(h, w, True)  # of each string of ``length`` bytes
     # strings that cross documents have no say
     start = np.arange(len(low))
@@ -146,9 +150,9 @@ def deep_shallow(text: np.ndarray, suffixes: np.ndarray, depth: int, shallow: in
     return at, new
 
 
-def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """Surroundings of anchors, and their documents: for each the starts, within it, of strings of ``length`` bytes
-    that a smaller document in the list holds too."""
+def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Surroundings of anchors, and their documents: runs (number of the surroundings, first and last + 1 start within
+    them) of the strings of ``length`` bytes that a smaller document in the list holds too."""
     sizes = np.array([len(c) for c in contexts])
     text = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -163,14 +167,9 @@ def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     own, at = own[hit], at[hit]
     order = np.lexsort((at, own))
     own, at = own[order], at[order]
-    cuts = np.searchsorted(own, np.arange(len(contexts) + 1))
-    return [at[a:b] - begin[k] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-
-
-def _runs(starts: np.ndarray) -> np.ndarray:
-    """Rows (first, last + 1) of the runs of rising, distinct numbers."""
-    edge = np.flatnonzero(np.diff(starts) != 1)
-    return np.stack([starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)] + 1], 1)
+    new = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)) if len(own) else np.empty(0, bool)
+    last = np.append(np.flatnonzero(new)[1:], len(own)) - 1 if len(own) else np.empty(0, np.int64)
+    return own[new], at[new] - begin[own[new]], at[last] + 1 - begin[own[new]]
 
 
 def _merged(runs: np.ndarray) -> np.ndarray:
@@ -202,18 +201,30 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h << U(16)) >> U(24)
 
 
-class _Marks:
-    """Runs of marked starts by (document, text), as rows for Spark."""
+def _five(h: np.ndarray) -> bytes:
+    """Short hashes in five bytes each."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-    def __init__(self) -> None:
-        self.of: dict[tuple[int, int], list] = {}
 
-    def add(self, d: int, k: int, runs: np.ndarray) -> None:
-        self.of.setdefault((d, k), []).append(runs)
+def _eight(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
-    def columns(self) -> tuple[pa.Array, pa.Array, pa.Array]:
-        runs = [_merged(np.concatenate(r)).astype("<u4").tobytes() for r in self.of.values()]
-        return pa.array([x[0] for x in self.of], pa.int64()), pa.array([x[1] for x in self.of], pa.int64()), pa.array(runs, pa.binary())
+
+def _by_text(d: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Runs of marked starts, those that touch made one, as a row for each document and text."""
+    order = np.lexsort((a, k, d))
+    d, k, a, b = d[order], k[order], a[order], b[order]
+    group = np.cumsum(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))) if len(d) else np.empty(0, np.int64)
+    low, reach = (group << 33) + a, np.maximum.accumulate((group << 33) + b)
+    new = np.append(True, low[1:] > reach[:-1]) if len(d) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    ends = reach[np.append(at[1:], len(d)) - 1] - (group[at] << 33) if len(d) else at
+    runs = np.stack([a[at], ends], 1).astype("<u4")
+    cuts = np.append(np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1])), len(at)) if len(d) else np.zeros(1, np.int64)
+    heads = at[cuts[:-1]]
+    return pa.array(d[heads], pa.int64()), pa.array(k[heads], pa.int64()), pa.array([runs[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000, with_text: bool = False) -> DataFrame:
@@ -229,6 +240,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     rows = rows.withColumns({"d": F.coalesce("doc_id", F.lit(NULL_ID)), "k": F.xxhash64("text")})
     wide = rows.where(F.octet_length("text") >= length)
 
+    # whole copies: of equal texts only the document of least id takes part, the others lose all strings
+    same = wide.select("d", "k", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    least = same.groupBy("sha").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    lost = stage(same.join(least, "sha").where(F.col("d") > F.col("least")).select("d", "k", "n"), "whole-copies")
+    # an id all of whose rows are copies of smaller ones has nothing more to find
+    done = same.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).join(lost.groupBy("d").agg(F.count(F.lit(1)).alias("lost")), "d").where("rows = lost").select("d")
+
     # 1. anchors by range of hash: of each its short hash and its document, packed by task
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -268,9 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         hs, ds, rs = [], [], []
         for b in batches:
             for r, x, y, base in zip(*(c.to_pylist() for c in b.columns)):
-                wide_ = np.zeros((len(x) // 5, 8), np.uint8)
-                wide_[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-                hs.append(wide_.view("<u8").ravel())
+                hs.append(_eight(x))
                 ds.append(np.frombuffer(y, "<u4").astype(np.int64) + base if len(y) == 4 * len(hs[-1]) else np.frombuffer(y, np.int64))
                 rs.append(np.full(len(hs[-1]), r))
         if not hs:
@@ -289,34 +305,32 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         cuts = np.append(at, len(d))
         for k in range(0, len(ids), 5000):
             some = [slice(cuts[i], cuts[i + 1]) for i in range(k, min(k + 5000, len(ids)))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5000]), pa.array([h[x].tobytes() for x in some], pa.binary()), pa.array([h[x][many[x]].tobytes() for x in some], pa.binary())], ["d", "h", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5000]), pa.array([_five(h[x]) for x in some], pa.binary()), pa.array([_five(h[x][many[x]]) for x in some], pa.binary())], ["d", "h", "many"])
 
     packed = wide.select("d", "text").mapInArrow(send_anchors, "r int, h binary, d binary, base long")
     found = packed.repartitionById(ranges, F.col("r")).mapInArrow(shared_anchors, "d long, h binary, many binary")
-    found = stage(found.groupBy("d").agg(F.collect_list("h").alias("h"), F.collect_list("many").alias("many")), "shared-anchors")
+    found = stage(found.join(done, "d", "left_anti").groupBy("d").agg(F.collect_list("h").alias("h"), F.collect_list("many").alias("many")), "shared-anchors")
 
     # 2. surroundings of shared anchors; equal ones in a task are sent for the least document, the others marked here
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, int, bytes]] = []
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]  # d, k, at, r, h
+        texts: list[bytes] = []
 
         def out() -> pa.RecordBatch:
-            held.sort()  # by document
+            d, k, at, r, h = (np.concatenate(c) for c in columns)
             head: dict[bytes, int] = {}
-            sent, marks = [], _Marks()
-            for i, (d, k, at, _, _, text) in enumerate(held):
-                j = head.setdefault(text, i)
-                if held[j][0] < d:
-                    marks.add(d, k, np.array([[at, at + len(text) - length + 1]]))
-                else:
-                    sent.append(i)
-            d, k, runs = marks.columns()
-            n = len(d)
-            cols = [pa.array([held[i][c] for i in sent], pa.int64()) for c in (3, 4, 0, 1, 2)]
-            cols[0] = pa.concat_arrays([cols[0], pa.array((np.arange(n) + (held[0][0] if held else 0)) % ranges, pa.int64())]).cast(pa.int32())
-            cols[1] = pa.concat_arrays([cols[1], pa.array(np.zeros(n, np.int64))])
-            cols[2], cols[3] = pa.concat_arrays([cols[2], d]), pa.concat_arrays([cols[3], k])
-            cols[4] = pa.concat_arrays([cols[4], pa.array(np.full(n, -1))])  # at -1: text holds runs of marks
-            return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.array([held[i][5] for i in sent], pa.binary()), runs])], ["r", "h", "d", "k", "at", "text"])
+            first = np.empty(len(d), np.int64)
+            for i in np.argsort(d, kind="stable").tolist():
+                first[i] = head.setdefault(texts[i], i)
+            more = d > d[first]
+            ends = at + np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
+            md, mk, runs = _by_text(d[more], k[more], at[more], ends[more])
+            n = len(md)
+            sent = np.flatnonzero(~more)
+            put = lambda x, y, kind: pa.concat_arrays([pa.array(x[sent], kind), pa.array(y, kind)])
+            # at -1: text holds runs of marks, which may go to any range
+            arrays = [put(r, (np.arange(n) + int(r[0])) % ranges, pa.int32()), put(h, np.zeros(n, np.int64), pa.int64()), pa.concat_arrays([pa.array(d[sent]), md]), pa.concat_arrays([pa.array(k[sent]), mk]), put(at, np.full(n, -1), pa.int64())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.concat_arrays([pa.array([texts[i] for i in sent.tolist()], pa.binary()), runs])], ["r", "h", "d", "k", "at", "text"])
 
         for b in batches:
             raw = [t.encode() for t in b.column(2).to_pylist()]
@@ -324,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             whole = b"".join(raw)
             at, h = anchors(np.frombuffer(whole, np.uint8), ends, length)
             doc = np.searchsorted(ends, at, "right")
-            lists, many = ([np.frombuffer(b"".join(x), U) for x in b.column(c).to_pylist()] for c in (3, 4))
+            lists, many = ([_eight(b"".join(x)) for x in b.column(c).to_pylist()] for c in (3, 4))
             cuts = np.searchsorted(doc, np.arange(len(raw) + 1))
             short = _short(h)
             keep = np.concatenate([np.isin(short[x:y], lists[i]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])
@@ -332,19 +346,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             at, h, doc = at[keep], h[keep], doc[keep]
             begin = ends[doc] - np.array([len(x) for x in raw])[doc]
             lo, hi = np.maximum(at - (length - GRAM), begin), np.minimum(at + length, ends[doc])
-            ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            place = (h >> U(48)).astype(np.int64) % ranges
-            for x, y, z, i, r, q, split in zip(lo.tolist(), hi.tolist(), begin.tolist(), doc.tolist(), place.tolist(), h.view(np.int64).tolist(), over.tolist()):
-                if not split:
-                    held.append((ids[i], keys[i], x - z, r, q, whole[x:y]))
-                else:
-                    for v in range(x, y - length + 1):
-                        own = int.from_bytes(hashlib.blake2b(whole[v : v + length], digest_size=8).digest(), "little", signed=True)
-                        held.append((ids[i], keys[i], v - z, own % ranges, own, whole[v : v + length]))
-            if len(held) > 100_000:
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            some = np.flatnonzero(~over)
+            texts += [whole[x:y] for x, y in zip(lo[some].tolist(), hi[some].tolist())]
+            rows_ = [ids[doc[some]], keys[doc[some]], (lo - begin)[some], ((h >> U(48)).astype(np.int64) % ranges)[some], h.view(np.int64)[some]]
+            for i in np.flatnonzero(over).tolist():  # strings one by one
+                starts = range(int(lo[i]), int(hi[i]) - length + 1)
+                own = [int.from_bytes(hashlib.blake2b(whole[v : v + length], digest_size=8).digest(), "little", signed=True) for v in starts]
+                texts += [whole[v : v + length] for v in starts]
+                n = len(own)
+                single = [np.full(n, ids[doc[i]]), np.full(n, keys[doc[i]]), np.array(starts) - begin[i], np.array(own) % ranges, np.array(own, np.int64)]
+                rows_ = [np.concatenate(x) for x in zip(rows_, single)] if n else rows_
+            for c, x in zip(columns, rows_):
+                c.append(x)
+            if len(texts) > 100_000:
                 yield out()
-                held = []
-        if held:
+                columns, texts = [[] for _ in range(5)], []
+        if texts:
             yield out()
 
     near = wide.join(found, "d").select("d", "k", "text", "h", "many").mapInArrow(surroundings, "r int, h long, d long, k long, at long, text binary")
@@ -355,24 +373,36 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         size = 0
 
         def run(table: pa.Table) -> pa.RecordBatch:
-            d, k, at, text = (table[c].to_pylist() for c in ("d", "k", "at", "text"))
-            marks, head = _Marks(), {}
+            d, k, at = (table[c].to_numpy() for c in ("d", "k", "at"))
+            text = table["text"].to_pylist()
+            known = np.flatnonzero(at < 0)
+            blobs = [np.frombuffer(text[i], "<u4").reshape(-1, 2).astype(np.int64) for i in known.tolist()]
+            times = [len(x) for x in blobs]
+            pairs = np.concatenate(blobs) if blobs else np.empty((0, 2), np.int64)
+            found_ = [(np.repeat(d[known], times), np.repeat(k[known], times), pairs[:, 0], pairs[:, 1])]
             # equal surroundings are sorted once: those of the least document stand for all
-            for i in sorted(range(len(d)), key=d.__getitem__):
-                if at[i] < 0:
-                    marks.add(d[i], k[i], np.frombuffer(text[i], "<u4").reshape(-1, 2).astype(np.int64))
-                else:
-                    head.setdefault(text[i], i)
-            heads = list(head.values())
-            got = dict(zip(heads, repeated([text[i] for i in heads], np.array([d[i] for i in heads]), length))) if heads else {}
-            for i, t in enumerate(text):
+            head: dict[bytes, int] = {}
+            first = np.arange(len(d))
+            for i in np.argsort(d, kind="stable").tolist():
                 if at[i] >= 0:
-                    first = head[t]
-                    if d[i] > d[first]:
-                        marks.add(d[i], k[i], np.array([[at[i], at[i] + len(t) - length + 1]]))
-                    elif len(got[first]):
-                        marks.add(d[i], k[i], _runs(got[first]) + at[i])
-            return pa.RecordBatch.from_arrays(list(marks.columns()), ["d", "k", "runs"])
+                    first[i] = head.setdefault(text[i], i)
+            more = np.flatnonzero(d > d[first])
+            ends = at + np.fromiter(map(len, text), np.int64, len(text)) - length + 1
+            found_.append((d[more], k[more], at[more], ends[more]))
+            if head:
+                heads = np.array(list(head.values()))
+                slot, a, b_ = repeated([text[i] for i in heads.tolist()], d[heads], length)
+                own = heads[slot]
+                found_.append((d[own], k[own], a + at[own], b_ + at[own]))
+                # the same document again: the runs of the first, at the other place
+                again = np.flatnonzero((at >= 0) & (d == d[first]) & (first != np.arange(len(d))))
+                place = np.empty(len(d), np.int64)
+                place[heads] = np.arange(len(heads))
+                lo = np.searchsorted(slot, place[first[again]])
+                n = np.searchsorted(slot, place[first[again]], "right") - lo
+                source, rep = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum())), np.repeat(again, n)
+                found_.append((d[rep], k[rep], a[source] + at[rep], b_[source] + at[rep]))
+            return pa.RecordBatch.from_arrays(list(_by_text(*(np.concatenate(x) for x in zip(*found_)))), ["d", "k", "runs"])
 
         for b in batches:
             rest.append(b)
@@ -389,7 +419,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield run(pa.Table.from_batches(rest))
 
     placed = near.repartitionById(ranges, F.col("r")).sortWithinPartitions("h").select("h", "d", "k", "at", "text")
-    marks = placed.mapInArrow(mark, "d long, k long, runs binary").groupBy("d", "k").agg(F.collect_list("runs").alias("runs"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [np.array([0, n - length + 1], "<u4").tobytes() for n in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, pa.binary())], ["d", "k", "runs"])
+
+    kind = "d long, k long, runs binary"
+    marks = placed.mapInArrow(mark, kind).union(lost.mapInArrow(whole, kind)).groupBy("d", "k").agg(F.collect_list("runs").alias("runs"))
     marks = stage(marks, "marks")
 
     # 4. the result
