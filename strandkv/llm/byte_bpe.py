@@ -5,7 +5,7 @@ higher-order functions encode each word once: an array of its bytes is folded, e
 concatenation has the lowest rank, until no two have one. Ranks are a literal: an array of small maps, picked by a
 hash, as a map's own look-up is linear. Decoding joins the binary pieces of ids.
 
-Words go back to the documents through a dictionary sent to every executor. Its size is checked: it takes the words met
+Words go back to the documents through a dictionary sent to every executor. Its size is checked, about 20 bytes a word: it takes the words met
 at least m times, where m is the least number that leaves at most ``most_words``. The other words, if any, are joined
 to the documents that hold them by a shuffle, so no word is lost and nothing grows without bound.
 
@@ -141,33 +141,42 @@ def distinct_words(docs: DataFrame, pattern: str, most: int = 400_000) -> DataFr
     return found.repartition(2 * shuffle_parts(docs.sparkSession), "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Dictionary:
-    """Words by hash, compactly: numpy arrays and two blobs."""
+def _packed(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Words (word, ids) as blobs: hashes, numbers of ids, ids."""
+    import xxhash
+
+    for b in batches:
+        h = np.array([xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64)
+        ends = b.column(1).offsets.to_numpy()
+        ids = b.column(1).flatten().to_numpy().astype(dtype)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(ends).astype("<u4"), ids)], ["h", "n", "ids"])
 
-    def __init__(self, words: list[bytes], ids: list[np.ndarray]):
-        import xxhash
 
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+class Dictionary:
+    """Ids of words, about 20 bytes a word: sorted hashes, ends, ids. A word's ids are checked by decoding them."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray):
         order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        words, ids = [words[i] for i in order], [np.asarray(ids[i], "<u4") for i in order]
-        self.word_ends, self.id_ends = np.cumsum([len(w) for w in words], dtype=np.int64), np.cumsum([4 * len(i) for i in ids], dtype=np.int64)
-        self.words, self.ids = b"".join(words), b"".join(i.tobytes() for i in ids)
+        start = (np.cumsum(n, dtype=np.int64) - n)[order]
+        self.hashes, n = h[order], n[order]
+        self.ends = np.cumsum(n, dtype=np.int64)
+        self.ids = ids[np.repeat(start - self.ends + n, n) + np.arange(len(ids))]
 
-    def get(self, word: bytes) -> bytes | None:
+    def get(self, word: bytes, pieces) -> bytes | None:
         """Little-endian 32-bit ids."""
         import xxhash
 
         h = np.uint64(xxhash.xxh64_intdigest(word))
         k = int(np.searchsorted(self.hashes, h))
         while k < len(self.hashes) and self.hashes[k] == h:
-            if self.words[self.word_ends[k - 1] if k else 0 : self.word_ends[k]] == word:
-                return self.ids[self.id_ends[k - 1] if k else 0 : self.id_ends[k]]
+            ids = self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
+            if b"".join([pieces[i] for i in ids.tolist()]) == word:
+                return ids.astype("<u4").tobytes()
             k += 1
         return None
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 5_000_000, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>, decoded binary)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -183,13 +192,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             break
         least = r["n"]
     is_frequent = F.least("n", F.lit(1_000_000)) >= least
-    top = words.where(is_frequent).select("word", "ids").toArrow()
-    flat = top["ids"].combine_chunks()
-    flat = flat if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks)
-    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
-    book = spark.sparkContext.broadcast(Dictionary(top["word"].to_pylist(), [values[a:b] for a, b in zip(ends, ends[1:])]))
     whole = total <= most_words
-    del top, flat
+    dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+    # at most most_words words of about 20 bytes
+    top = words.where(is_frequent).select("word", "ids").mapInArrow(lambda batches: _packed(batches, dtype), "h binary, n binary, ids binary").collect()
+    join = lambda c, kind: np.frombuffer(b"".join([r[c] for r in top]), kind)
+    book = spark.sparkContext.broadcast(Dictionary(join("h", "<u8"), join("n", "<u4"), join("ids", dtype)))
+    del top
     pieces = spark.sparkContext.broadcast([b for b, _ in sorted(ranks.items(), key=lambda x: x[1])] if sorted(ranks.values()) == list(range(len(ranks))) else {v: k for k, v in ranks.items()})
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +208,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         def unit(u: str, rare: dict[bytes, bytes]) -> tuple[bytes, bytes]:
             out, common = [], True
             for w in split.words(u):
-                got = dictionary.get(w)
+                got = dictionary.get(w, table)
                 if got is None:
                     got, common = rare[w], False
                 out.append(got)
@@ -231,26 +240,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         return docs.mapInArrow(assemble, kind)
 
     def rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, dictionary = Splitter(pattern), book.value
+        split, dictionary, table = Splitter(pattern), book.value, pieces.value
         known: dict[str, list[bytes]] = {}
         for b in batches:
             keys, words_ = [], []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist()):
                 found: set[bytes] = set()
                 for u in set(split.units(t)):
                     got = known.get(u)
                     if got is None:
-                        got = [w for w in split.words(u) if dictionary.get(w) is None]
+                        got = [w for w in split.words(u) if dictionary.get(w, table) is None]
                         if len(known) >= split.keep:
                             known.clear()
                         known[u] = got
                     found.update(got)
                 keys += [key] * len(found)
                 words_ += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words_, pa.binary())], ["key", "word"])
-
-    # a text's digest is the key: equal texts share their rare words, and nothing hangs on doc_id being unique
-    keyed = docs.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    pairs = keyed.select("key", "text").mapInArrow(rare_of, "key binary, word binary").distinct()
-    rare = pairs.join(words.where(~is_frequent).select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
-    return keyed.join(rare, "key", "left").select("doc_id", "text", "rare").mapInArrow(assemble, kind)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int32()), pa.array(words_, pa.binary())], ["k1", "k2", "word"])
+
+    # a text's hashes, 96 bits together, are the key: equal texts share their rare words, and nothing hangs on doc_id
+    # being unique
+    keyed = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.hash("text")})
+    pairs = keyed.select("k1", "k2", "text").mapInArrow(rare_of, "k1 long, k2 int, word binary").distinct()
+    rare = pairs.join(words.where(~is_frequent).select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    return keyed.join(rare, ["k1", "k2"], "left").select("doc_id", "text", "rare").mapInArrow(assemble, kind)
