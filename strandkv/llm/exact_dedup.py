@@ -72,23 +72,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     n = rows.count()  # from the files' footers
     wanted = parts * samples
-    # few bytes a sample are sent to the driver: where a text has more, its first bytes and a digest stand for it
-    sampled = rows.sample(min(1.0, wanted / max(n, 1)), 7) if n > wanted else rows
-    heads = sampled.select(F.substring("_text", 1, 200).alias("h"), F.length("_text").alias("n"), F.sha2("_text", 256).alias("s"), "_d")
-    got = [(r["h"].encode(), r["n"], r["s"], r["_d"]) for r in heads.collect()]
-    got.sort()
-    # whole texts are fetched only for those that several samples share
-    seen: dict[str, int] = {}
-    for g in got:
-        seen[g[2]] = seen.get(g[2], 0) + 1
-    many = [s for s, k in seen.items() if k > max(1, samples // per_part)]
-    whole: dict[str, str] = {}
-    if many:
-        shared = sampled.select("_text", F.sha2("_text", 256).alias("s")).where(F.col("s").isin(many))
-        whole = {r["s"]: r["t"] for r in shared.groupBy("s").agg(F.any_value("_text").alias("t")).collect()}
-    keys = sorted((whole[s].encode() if s in whole else h, d) for h, _, s, d in got)
-    hot = {t.encode() for t in whole.values()}
-    cut = [x for x in _splitters(keys, parts * per_part) if x[1] is None or x[0] in hot]
+    sampled = stage(rows.sample(min(1.0, wanted / max(n, 1)), 7) if n > wanted else rows, "dedup-sample").withColumn("_s", F.sha2("_text", 256))
+    # the driver gets the first characters of the sampled texts; where many share them, more, until they part or end
+    size, enough, known, open_, whole = 200, max(1, samples // per_part), [], None, set()
+    while open_ is None or open_:
+        some = sampled if open_ is None else sampled.where(F.substring("_text", 1, size // 10).isin(open_))
+        got = [(r["h"], r["n"], r["_s"], r["_d"]) for r in some.select(F.substring("_text", 1, size).alias("h"), F.length("_text").alias("n"), "_s", "_d").collect()]
+        by_head: dict[str, list] = {}
+        for g in got:
+            by_head.setdefault(g[0], []).append(g)
+        open_ = []
+        for head, own in by_head.items():
+            if len(own) > enough and any(len(head) < g[1] for g in own):
+                open_.append(head)
+            else:
+                known += own
+                if len(own) > enough:
+                    whole.add(head.encode())
+        size *= 10
+    keys = sorted((head.encode(), d) for head, _, _, d in known)
+    cut = [x for x in _splitters(keys, parts * per_part) if x[1] is None or x[0] in whole]
 
     kind = "array<struct<t:string,d:bigint>>"
     # a cut prefix may end inside a character: take it as far as whole characters go
@@ -108,7 +111,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     order = Window.partitionBy("_p").orderBy("_text", "_d")
     runs = (
-        rows.repartition(parts, "_p")
+        rows.repartitionById(parts, F.col("_p"))
         .withColumn("_new", F.when(F.lag("_text").over(order) == F.col("_text"), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .select("_id", "_d", F.sha2("_text", 256).alias("_sha"), "_p", "_run", "_h")
