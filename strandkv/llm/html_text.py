@@ -7,6 +7,9 @@ window above the threshold after one that is not, a dive is where the windows ar
 them is kept. Where the page marks its article (article or main element) only lines in it have weight and any weight
 is a surge; else the threshold is a share of the page's highest window.
 
+Elements nest as HTML has it, end tags that may be left out (p, li, dt, dd, cells, rows, options) included, and whatever
+is hidden ends at the latest with the element that holds it.
+
 Cases: null html counts as empty and gives an empty text; null ids and urls, repeated rows and extra columns pass; an
 empty table gives an empty result; a page cut off inside a tag, script or comment gives the text before it.
 """
@@ -31,6 +34,86 @@ _HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|share|social|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|related|recommended|comments?|discussion|replies|respond|widget|toolbar|pagination|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+# where HTML lets end tags be left out: what the start of an element ends, and what it doesn't reach across
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS_P = _HEADINGS | frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+_ARTICLES = frozenset(("article", "main"))
+_CELLS = _ARTICLES | frozenset(("td", "th", "caption"))
+_P = frozenset(("p",))
+_P_BOUNDS = _CELLS | frozenset(("button", "object", "table", "template"))
+_LISTS = _CELLS | frozenset(("ul", "ol", "menu", "dl", "table"))
+_TABLE = _ARTICLES | frozenset(("table",))
+_SIBLINGS = {
+    "li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), _LISTS), "dd": (frozenset(("dt", "dd")), _LISTS),
+    "td": (frozenset(("td", "th", "caption", "colgroup")), _TABLE), "th": (frozenset(("td", "th", "caption", "colgroup")), _TABLE), "tr": (frozenset(("td", "th", "tr", "caption", "colgroup")), _TABLE),
+    **{n: (frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup")), _TABLE) for n in ("tbody", "thead", "tfoot")},
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+# a marked article ends at its own end tag only, and stray end tags in a cell or a list don't reach out of it
+_END_BOUNDS = {
+    "p": _P_BOUNDS, "li": _LISTS, "dt": _LISTS, "dd": _LISTS, **{n: _TABLE for n in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")}, "table": _ARTICLES,
+    **{n: frozenset() for n in ("article", "main", "body", "html")},
+}
+
+
+class Open:
+    """The elements that are open, and how many of them hide or mark what they hold. An element ends at its own end tag,
+    where HTML lets its end tag be left out, or with the element that holds it."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.masks: list[bool] = []
+        self.marked: list[bool] = []
+        self.count: dict[str, int] = {}
+        self.hidden = self.article = 0
+
+    def start(self, name: str, mask: bool, marked: bool = False) -> None:
+        self.names.append(name)
+        self.masks.append(mask)
+        self.marked.append(marked)
+        self.count[name] = self.count.get(name, 0) + 1
+        self.hidden += mask
+        self.article += marked
+
+    def cut(self, at: int) -> None:
+        while len(self.names) > at:
+            self.count[self.names.pop()] -= 1
+            self.hidden -= self.masks.pop()
+            self.article -= self.marked.pop()
+
+    def unmask(self) -> None:
+        self.masks = [False] * len(self.names)
+        self.hidden = 0
+
+    def last(self, names: frozenset[str], bounds: frozenset[str]) -> int:
+        """Place of the innermost open element of these names that no bound parts from here, or -1."""
+        if any(self.count.get(n) for n in names):
+            for at in range(len(self.names) - 1, -1, -1):
+                if self.names[at] in names:
+                    return at
+                if self.names[at] in bounds:
+                    break
+        return -1
+
+    def implied(self, name: str) -> None:
+        """Ends what the start of such an element ends."""
+        if name in _ENDS_P:
+            self._end(_P, _P_BOUNDS)
+        if name in _SIBLINGS:
+            self._end(*_SIBLINGS[name])
+
+    def _end(self, names: frozenset[str], bounds: frozenset[str]) -> None:
+        at = self.last(names, bounds)
+        while at >= 0:
+            self.cut(at)
+            at = self.last(names, bounds)
+
+    def end(self, name: str) -> None:
+        # what hides is ended by its own end tag even over cells that were left open
+        at = self.last(_HEADINGS if name in _HEADINGS else frozenset((name,)), _END_BOUNDS.get(name, _ARTICLES if self.hidden else _CELLS))
+        if at >= 0:
+            self.cut(at)
+
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, inside the marked article) of every line; weight 0 where markup tells that it isn't article."""
@@ -38,18 +121,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     linked = plain = 0
-    masked, depth = "", 0  # the element that hides what it holds, and how deep it repeats itself
-    article = link = 0
+    tree = Open()
+    link = 0
 
     def close() -> None:
         nonlocal linked, plain
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            weight = 0 if masked or (linked > plain and not article) else len(text)
-            out.append((text, weight, article > 0))
+            weight = 0 if tree.hidden or (linked > plain and not tree.article) else len(text)
+            out.append((text, weight, tree.article > 0))
         else:
-            out.append(("", 0, article > 0))
+            out.append(("", 0, tree.article > 0))
         linked = plain = 0
 
     def put(text: str) -> None:
@@ -75,19 +158,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in _INLINE:
             continue
         close()
-        if name in ("article", "main"):
-            if end:
-                article = max(0, article - 1)
-            elif not _is_aside(rest):
-                article, masked, depth = article + 1, "", 0  # whatever was left open before it ends here
-                continue
-        if masked:
-            if name == masked:
-                depth += -1 if end else 1
-                if not depth:
-                    masked = ""
-        elif not end and name not in _VOID and not rest.endswith("/") and ((name in _ASIDE and not (article and name == "header")) or _is_aside(rest)):
-            masked, depth = name, 1
+        if end:
+            tree.end(name)
+            continue
+        tree.implied(name)
+        if name in _VOID or rest.endswith("/"):
+            continue
+        aside = _is_aside(rest)
+        if name in ("article", "main") and not aside:
+            tree.unmask()  # whatever was left open before it ends here
+            tree.start(name, False, True)
+        else:
+            tree.start(name, aside or (name in _ASIDE and not (tree.article and name == "header")))
     put(page[at:])
     close()
     return out

@@ -248,6 +248,19 @@ def test_html(spark):
     assert got[4].text == ("Plain text of a page without marks. " * 9).strip()
 
 
+def test_html_hidden_elements_end():
+    for page, want in [
+        ('<article><p>One.<p class="ad">Buy<p>Two.</p><p>Three.</p></article>', "One. Two. Three."),
+        ("<article><ul><li>a<li class=share>S<li>b</ul><p>c</article>", "a b c"),
+        ("<article><table><tr><td class=side>x<td>y<tr><td>z</table><p>w</article>", "y z w"),
+        ("<article><dl><dt>a<dd class=ad>x<dt>b<dd>c</dl></article>", "a b c"),
+        ("<article><section><div class=ad>Buy</section><p>b</article>", "b"),
+        ("<article><div class=ad><table><tr><td>Buy</div><p>b</article>", "b"),
+        ('<article><div class="ad"><div>Buy</div>now</div><p>b</p></div><p>c</p></article>', "b c"),
+    ]:
+        assert html_text.main_text(page) == want
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
