@@ -9,6 +9,8 @@ is a surge; else the threshold is a share of the page's highest window.
 
 Elements nest as HTML has it, end tags that may be left out (p, li, dt, dd, cells, rows, options) included, and whatever
 is hidden ends at the latest with the element that holds it.
+A class or the like hides an element by whole tokens ("ad", "site-footer"; not "no-sidebar"), and never html, body, an
+article or main element (but for readers' comments marked as articles after the first), or a wrapper of the page.
 
 Cases: null html counts as empty and gives an empty text; null ids and urls, repeated rows and extra columns pass; an
 empty table gives an empty result; a page cut off inside a tag, script or comment gives the text before it.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +33,13 @@ _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|o
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _ASIDE = frozenset("nav aside form footer header dialog menu".split())
-_HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|share|social|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|related|recommended|comments?|discussion|replies|respond|widget|toolbar|pagination|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+_HINT = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# a class token hides if each of its parts is such a word or tells a place or a shape: "site-footer", not "no-sidebar"
+_TALK = r"comments?|discussion|replies|respond"
+_WORDS = rf"(?:{_TALK}|ad|ads|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|share|social|sidebar|side|menu|nav[a-z]*|breadcrumbs?|footer|masthead|related|recommended|widget|toolbar|pagination|complementary|contentinfo|search)"
+_PLAIN = r"(?:site|page|post|posts|entry|article|articles|main|primary|secondary|global|top|bottom|left|right|header|body|inner|outer|list|item|items|area|bar|box|block|section|wrap|wrapper|container|panel|group|row|col|column|form|field|button|buttons|btn|icon|icons|link|links|text|title|media|slot|unit|overlay|dialog|desktop|mobile|\d+)"
+_NAMES = re.compile(rf"(?:^|\s)(?:{_PLAIN}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_PLAIN}))*(?=\s|$)", re.I)
+_TALKS = re.compile(rf"(?:^|[\s_-])(?:{_TALK})(?=[\s_-]|$)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 # where HTML lets end tags be left out: what the start of an element ends, and what it doesn't reach across
@@ -56,34 +64,54 @@ _END_BOUNDS = {
 }
 
 
+class Mask:
+    """Lines [start, end) are hidden: by an element's name, by a class or the like, or as talk of readers."""
+
+    __slots__ = ("end", "how", "start")
+
+    def __init__(self, how: str, start: int):
+        self.how, self.start, self.end = how, start, -1
+
+
 class Open:
-    """The elements that are open, and how many of them hide or mark what they hold. An element ends at its own end tag,
+    """The elements that are open, and which of them hide or mark what they hold. An element ends at its own end tag,
     where HTML lets its end tag be left out, or with the element that holds it."""
 
-    def __init__(self) -> None:
+    def __init__(self, out: list) -> None:
+        self.out = out
         self.names: list[str] = []
-        self.masks: list[bool] = []
+        self.masks: list[Mask | None] = []
         self.marked: list[bool] = []
         self.count: dict[str, int] = {}
+        self.all: list[Mask] = []
         self.hidden = self.article = 0
 
-    def start(self, name: str, mask: bool, marked: bool = False) -> None:
+    def start(self, name: str, how: str, marked: bool = False) -> None:
+        mask = Mask(how, len(self.out)) if how else None
+        if mask:
+            self.all.append(mask)
+            self.hidden += 1
         self.names.append(name)
         self.masks.append(mask)
         self.marked.append(marked)
         self.count[name] = self.count.get(name, 0) + 1
-        self.hidden += mask
         self.article += marked
 
     def cut(self, at: int) -> None:
         while len(self.names) > at:
             self.count[self.names.pop()] -= 1
-            self.hidden -= self.masks.pop()
+            mask = self.masks.pop()
+            if mask:
+                mask.end = len(self.out)
+                self.hidden -= 1
             self.article -= self.marked.pop()
 
     def unmask(self) -> None:
-        self.masks = [False] * len(self.names)
-        self.hidden = 0
+        if self.hidden:
+            for mask in filter(None, self.masks):
+                mask.end = len(self.out)
+            self.masks = [None] * len(self.names)
+            self.hidden = 0
 
     def last(self, names: frozenset[str], bounds: frozenset[str]) -> int:
         """Place of the innermost open element of these names that no bound parts from here, or -1."""
@@ -121,15 +149,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     linked = plain = 0
-    tree = Open()
-    link = 0
+    tree = Open(out)
+    link = articles = 0
 
     def close() -> None:
         nonlocal linked, plain
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            weight = 0 if tree.hidden or (linked > plain and not tree.article) else len(text)
+            weight = 0 if (linked > plain and not tree.article) else len(text)
             out.append((text, weight, tree.article > 0))
         else:
             out.append(("", 0, tree.article > 0))
@@ -164,19 +192,65 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         tree.implied(name)
         if name in _VOID or rest.endswith("/"):
             continue
-        aside = _is_aside(rest)
-        if name in ("article", "main") and not aside:
-            tree.unmask()  # whatever was left open before it ends here
-            tree.start(name, False, True)
+        how = _hint(rest)
+        if name in ("article", "main"):
+            # a hint doesn't hide what the page marks as its article, but readers' comments come as articles as well
+            if how and (tree.hidden or (how == "talk" and articles)):
+                tree.start(name, how)
+            else:
+                tree.unmask()  # whatever was left open before it ends here
+                tree.start(name, "", True)
+                articles += name == "article"
+        elif name in ("html", "body"):
+            tree.start(name, "")
+        elif name in _ASIDE and not (tree.article and name == "header"):
+            tree.start(name, "name")
         else:
-            tree.start(name, aside or (name in _ASIDE and not (tree.article and name == "header")))
+            tree.start(name, how)
     put(page[at:])
     close()
+    tree.cut(0)
+    for k in _hidden(out, tree.all):
+        out[k] = (out[k][0], 0, out[k][2])
     return out
 
 
-def _is_aside(attributes: str) -> bool:
-    return bool(attributes) and any(_NAMES.search(a or b or c) for a, b, c in _HINT.findall(attributes))
+def _hint(attributes: str) -> str:
+    """How class, id, role or label hide an element: "hint", "talk" or not at all."""
+    values = [a or b or c for a, b, c in _HINT.findall(attributes)] if attributes else []
+    found = [m[0] for v in values for m in _NAMES.finditer(v)]
+    return "" if not found else "talk" if any(_TALKS.search(x) for x in found) else "hint"
+
+
+def _hidden(out: list[tuple[str, int, bool]], masks: list[Mask]) -> list[int]:
+    """The lines that are hidden. An element that only a hint hides is a wrapper of the page instead, and hides nothing,
+    if it has several lines and most of the page's text, and what is left without it is nothing or, beside 200 characters
+    or more of it, less than a quarter; for comments, if it has all text."""
+    size, full = [0], [0]
+    for text, _, _ in out:
+        size.append(size[-1] + len(text))
+        full.append(full[-1] + bool(text))
+
+    def covered(masks: list[Mask]) -> list[int]:
+        step = [0] * (len(out) + 1)
+        for m in masks:
+            step[m.start] += 1
+            step[m.end] -= 1
+        return [k for k, depth in enumerate(accumulate(step[:-1])) if depth]
+
+    gone = covered(masks)
+    seen = size[-1] - sum(len(out[k][0]) for k in gone)
+
+    def wraps(m: Mask) -> bool:
+        held = size[m.end] - size[m.start]
+        if m.how == "name" or full[m.end] - full[m.start] < 2:
+            return False
+        if m.how == "talk":
+            return held == size[-1]
+        return 2 * held > size[-1] and (not seen or (held >= 200 and 4 * seen < held))
+
+    stay = [m for m in masks if not wraps(m)]
+    return gone if len(stay) == len(masks) else covered(stay)
 
 
 def main_text(page: str | None, window: int = 3, share: float = 0.1) -> str:

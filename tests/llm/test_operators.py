@@ -261,6 +261,19 @@ def test_html_hidden_elements_end():
         assert html_text.main_text(page) == want
 
 
+def test_html_hints_hide_no_wrapper():
+    body = "<p>One.</p><p>Two.</p>"
+    for page in [
+        f'<body class="single no-sidebar">{body}', f'<div class="content with-sidebar">{body}</div>', f'<html class="nav-closed">{body}', f'<body class="sidebar">{body}', f'<div class="sidebar">{body}</div>',
+        f'<article class="post no-sidebar">{body}</article>', f'<main class="has-share">{body}</main>', f'<main class="share">{body}</main>', f'<article id="comments">{body}</article>',
+        f'<article>{body}<div class="comment-list"><article class="comment-body">I disagree.</article></div></article>', f'<article>{body}</article><article class="comment">I disagree.</article>',
+        f'<div>{body}</div><div class="site-footer"><p>Us.</p></div><ul class="share_buttons"><li>Send</ul><div role=navigation>Up</div>',
+    ]:
+        assert html_text.main_text(page) == "One. Two.", page
+    long = "<p>Plain text of a page.</p>" * 20
+    assert html_text.main_text(f'<h1>Head</h1><div class="widget">{long}</div>').endswith("Plain text of a page.")
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
