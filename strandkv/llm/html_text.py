@@ -13,7 +13,8 @@ A class or the like hides an element by whole tokens ("ad", "site-footer"; not "
 article or main element (but for readers' comments marked as articles after the first), or a wrapper of the page.
 
 Cases: null html counts as empty and gives an empty text; null ids and urls, repeated rows and extra columns pass; an
-empty table gives an empty result; a page cut off inside a tag, script or comment gives the text before it.
+empty table gives an empty result; a page cut off inside a tag, script, style or comment gives the text before it; head
+holds no text but its title, so its end tag may be left out; formulas are text, drawings and controls aren't.
 """
 
 from __future__ import annotations
@@ -29,9 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|math|canvas|select|textarea|button|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_TITLE = r"<title\b[^>]*>(?:(?:[^<]|<(?!/?(?:title|head|body|html|article|main|header|nav|section|div|p|h[1-6]|ul|ol|table|form|meta|link)\b))*+</title\s*>|[^<]*+)"
+# what holds no markup: comments, scripts and styles to the end of the page if they are cut off, the others only if they end
+_GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(textarea|iframe)\b(?:[^>]*[^>/])?>(?:(?!<\2\b).)*?</\2\s*>|{_TITLE}", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""")
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i iframe ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()) | frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
+# never text, and no line of its own either; a control or a drawing that is left open ends before the next block
+_DROP = frozenset("noscript template object svg canvas select textarea button".split())
+_CONTROLS = frozenset("svg select textarea button".split())
 _ASIDE = frozenset("nav aside form footer header dialog menu".split())
 _HINT = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # a class token hides if each of its parts is such a word or tells a place or a shape: "site-footer", not "no-sidebar"
@@ -42,9 +48,12 @@ _NAMES = re.compile(rf"(?:^|\s)(?:{_PLAIN}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_P
 _TALKS = re.compile(rf"(?:^|[\s_-])(?:{_TALK})(?=[\s_-]|$)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+_OWN = {n: re.compile(rf"<(/?){n}\b", re.I) for n in _DROP}
+
 # where HTML lets end tags be left out: what the start of an element ends, and what it doesn't reach across
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = _HEADINGS | frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+_BREAKS = _ENDS_P - frozenset("hr optgroup option".split())
 _ARTICLES = frozenset(("article", "main"))
 _CELLS = _ARTICLES | frozenset(("td", "th", "caption"))
 _P = frozenset(("p",))
@@ -143,13 +152,50 @@ class Open:
             self.cut(at)
 
 
+class Dropped:
+    """The innermost element that is never text and what is open in it. One that isn't closed before the next of its name
+    ends where it must: a control or a drawing before a block, any with the element that holds it; of the others that
+    have no end only the tag goes."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.names: list[str] = []
+        self.closed = False
+        self.next: dict[str, re.Match | None] = {}
+
+    def start(self, name: str, at: int) -> None:
+        m = self.next.get(name)
+        if name not in self.next or (m and m.start() < at):
+            m = self.next[name] = _OWN[name].search(self.page, at)
+        self.closed = m is not None and m[1] == "/"
+        if self.closed or name in _CONTROLS or (m and name in ("template", "object")):
+            self.names = [name]
+
+    def tag(self, end: str, name: str, rest: str, held: bool) -> bool:
+        """Whether the tag lies inside; held: it may end an element that holds this one."""
+        if end:
+            if name in self.names:
+                while self.names.pop() != name:
+                    pass
+                return True
+            if held or (name in _INLINE and not self.closed):
+                self.names = []
+            return bool(self.names)
+        if not self.closed and self.names[0] in _CONTROLS and name in _BREAKS and "foreignobject" not in self.names:
+            self.names = []
+            return False
+        if name not in _VOID and not rest.endswith("/"):
+            self.names.append(name)
+        return True
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, inside the marked article) of every line; weight 0 where markup tells that it isn't article."""
     page = _GONE.sub(" ", page)
     out: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     linked = plain = 0
-    tree = Open(out)
+    tree, dropped = Open(out), Dropped(page)
     link = articles = 0
 
     def close() -> None:
@@ -165,7 +211,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     def put(text: str) -> None:
         nonlocal linked, plain
-        if text:
+        if text and not dropped.names:
             buffer.append(text)
             n = len(text) - text.count(" ")
             if link:
@@ -181,9 +227,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         name = name.lower()
+        if dropped.names and dropped.tag(end, name, rest, bool(tree.count.get(name))):
+            continue
+        if name in _DROP:
+            put(" ")
+            if not end and not rest.endswith("/"):
+                dropped.start(name, at)
+            continue
         if name == "a":
             link = 0 if end else 1
         if name in _INLINE:
+            if name in ("mtr", "mtd", "iframe"):
+                put(" ")
             continue
         close()
         if end:
@@ -201,7 +256,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 tree.unmask()  # whatever was left open before it ends here
                 tree.start(name, "", True)
                 articles += name == "article"
-        elif name in ("html", "body"):
+        elif name in ("html", "head", "body"):
             tree.start(name, "")
         elif name in _ASIDE and not (tree.article and name == "header"):
             tree.start(name, "name")

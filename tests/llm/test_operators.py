@@ -274,6 +274,23 @@ def test_html_hints_hide_no_wrapper():
     assert html_text.main_text(f'<h1>Head</h1><div class="widget">{long}</div>').endswith("Plain text of a page.")
 
 
+def test_html_unclosed_elements_cut_nothing():
+    for page, want in [
+        ("<head><title>x</title><body><p>One.</p>", "One."),
+        ("<!doctype html><title>a < b</title><meta charset=utf-8><p>One.", "One."),
+        ("<head><title>x<body><p>One.", "One."),
+        ('<article><p>One <svg viewBox="0 0 1 1"/>two <math/>three.</p><p>Four.</p></article>', "One two three. Four."),
+        ("<article><p>One.<svg><path d=x><p>Two.</p></article>", "One. Two."),
+        ("<article><p>One.</p><button>Share<p>Two.</p><button><div>Send</div></button><p>Three.</article>", "One. Two. Three."),
+        ("<article><p>One.</p><div><select><option>a<option>b</div>Two.<textarea>c<p>Three.</article>", "One. Two. Three."),
+        ("<article><p>One.<noscript>Two.<p>Three.<iframe/><p>Four.<textarea><p>no</textarea></article>", "One. Two. Three. Four."),
+        ("<article><p>One <noscript><p>no</p></noscript><template><div>no</div></template>two <select><option>no</select>three.</article>", "One two three."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</article>", "Let x=1 hold."),
+        ("<article><p>One.</p><script>cut <p>off</article>", "One."),
+    ]:
+        assert html_text.main_text(page) == want, page
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
