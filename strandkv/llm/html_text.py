@@ -2,10 +2,10 @@ r"""Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element gives one line. Lines inside menus, headers and footers of the page,
 sidebars, notices, adverts, forms and comment sections have no weight; neither have lines that are mostly links. The
-other lines weigh as many characters as they have. The weights are summed over sliding windows of lines; a surge is a
-window above the threshold after one that is not, a dive is where the windows are empty again, and the text between
-them is kept. Where the page marks its article (article or main element) only lines in it have weight and any weight
-is a surge; else the threshold is a share of the page's highest window.
+other lines weigh as many characters as they have. The weights are summed over sliding windows of lines that have text;
+a surge is a window above the threshold after one that is not, a dive is where the windows are empty again, and the text
+between them is kept. Where the page marks its article (article or main element) only lines in it have weight and any
+weight is a surge; else the threshold is a share of the median weight, 16 characters at most, however long a line is.
 
 Elements nest as HTML has it, end tags that may be left out (p, li, dt, dd, cells, rows, options) included, and whatever
 is hidden ends at the latest with the element that holds it.
@@ -23,6 +23,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from itertools import accumulate
+from statistics import median_low
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +72,7 @@ _END_BOUNDS = {
     "p": _P_BOUNDS, "li": _LISTS, "dt": _LISTS, "dd": _LISTS, **{n: _TABLE for n in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")}, "table": _ARTICLES,
     **{n: frozenset() for n in ("article", "main", "body", "html")},
 }
+LEAST = 16  # characters
 
 
 class Mask:
@@ -312,9 +314,11 @@ def main_text(page: str | None, window: int = 3, share: float = 0.1) -> str:
     lines = lines_of(page or "")
     marked = any(inside and weight for _, weight, inside in lines)
     weight = [w if inside or not marked else 0 for _, w, inside in lines]
-    n = len(lines)
+    weight = [w for (text, _, _), w in zip(lines, weight) if text]
+    texts = [text for text, _, _ in lines if text]
+    n = len(texts)
     sums = [sum(weight[i : i + window]) for i in range(n)]
-    least = 0 if marked else share * max(sums, default=0)
+    least = 0 if marked else min(LEAST, share * median_low([w for w in weight if w] or [0]))
     kept: list[str] = []
     i = 0
     while i < n:
@@ -322,7 +326,7 @@ def main_text(page: str | None, window: int = 3, share: float = 0.1) -> str:
             j = i
             while j < n and sums[j]:  # dive
                 j += 1
-            kept += [lines[k][0] for k in range(i, j) if weight[k]]
+            kept += [texts[k] for k in range(i, j) if weight[k]]
             i = j
         i += 1
     return " ".join(kept)

@@ -291,6 +291,14 @@ def test_html_unclosed_elements_cut_nothing():
         assert html_text.main_text(page) == want, page
 
 
+def test_html_long_line_drops_no_other():
+    long = "A very long paragraph. " * 130
+    page = f"<h1>A heading of some words</h1><div><p>By one.</p></div><div><p>Before it.</p></div><div><div><p>{long}</p></div></div><div><p>A short end.</p></div><div><div><p>Bye.</p></div></div>"
+    assert html_text.main_text(page) == f"A heading of some words By one. Before it. {long}A short end. Bye."
+    menu = "<ul>" + "<li><a href=x>Go there</a></li>" * 5 + "</ul>"
+    assert html_text.main_text(f"<p>A heading of some words</p>{menu}<p>{long}</p><p>{long}</p><p>{long}</p>{menu}<p>Top</p>{menu}") == f"A heading of some words {long}{long}{long}".strip()
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
