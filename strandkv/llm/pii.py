@@ -4,8 +4,10 @@ The tagger is trained in numpy from labelled spans. They come from a seeded gene
 e-mail addresses, IP addresses, card and phone numbers in many written forms, and with look-alikes (dates, prices,
 versions, hexadecimal tokens, digit runs) that are no spans; so nothing of the corpus is needed and every run trains
 the same model. All four kinds hold a digit or an at sign (spelled out or not), so the tagger reads the windows of a
-text round those, each window once for all its copies in a batch. Windows overlap; each character takes its tag from
-the window in which it lies furthest from an edge, and spans are read from the whole document's tags.
+text round those and the whole names and hosts beside an at sign, each window once for all its copies in a batch. Windows
+overlap; each character takes its tag from the window in which it lies furthest from an edge, spans are read from the
+whole document's tags, and an address of which the tagger found the at sign and a part is taken to the ends of its name
+and host.
 
 A span that the tagger adds must be well formed of its kind (parts at most 255, Luhn, number of digits) and touch no
 base span; base spans always stay.
@@ -274,22 +276,34 @@ def trained(steps: int = 300, examples: int = 1500, seed: int = 11) -> Tagger:
 
 
 _TRIGGER = re.compile(r"[0-9][0-9 ().-]*|@|[(\[]at[)\]]", re.I)
+_AT = re.compile(r"@|[(\[]at[)\]]", re.I)
+_HOST = re.compile(r" ?[\w-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[\w-]++)*+", re.I)
+_MORE_HOST = re.compile(r"[\w-]*+(?:(?:\.| ?[(\[]dot[)\]] ?)[\w-]++)*+", re.I)
+
+
+def _name_start(text: str, at: int) -> int:
+    """Where the run of characters of a local part that ends at ``at`` begins."""
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.%+-"):
+        at -= 1
+    return at
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows round all digits, at signs and spelled-out ones in brackets."""
-    out: list[int] = []
-    lo = hi = -1
+    """Starts of the overlapping windows round all digits, at signs and spelled-out ones in brackets, with the whole
+    local part and host beside a sign."""
+    groups: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if lo < 0:
-            lo, hi = a, b
-        elif a <= hi:
-            hi = b
-        else:
-            out += _cover(lo, hi)
-            lo, hi = a, b
-    return out + (_cover(lo, hi) if lo >= 0 else [])
+        a, b = m.span()
+        if not "0" <= m[0][0] <= "9":
+            a = _name_start(text, a - (a > 0 and text[a - 1] == " "))
+            host = _HOST.match(text, b)
+            b = host.end() if host else b
+        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
+        while groups and a <= groups[-1][1]:
+            lo, hi = groups.pop()
+            a, b = min(a, lo), max(b, hi)
+        groups.append((a, b))
+    return [w for lo, hi in groups for w in _cover(lo, hi)]
 
 
 def _cover(lo: int, hi: int) -> list[int]:
@@ -319,9 +333,15 @@ def _spans(text: str, at: np.ndarray, tags: np.ndarray) -> list[Span]:
             a += 1
         while a < b and text[b - 1] in " \t\n,;:.":
             b -= 1
+        at_sign = _AT.search(text, a, b) if KINDS[kind] == "email" else None
+        if at_sign:  # names and hosts longer than a window sees are taken whole
+            left = _name_start(text, a)
+            while left < a and not text[left].isalnum():
+                left += 1
+            a, b = left, max(b, _MORE_HOST.match(text, b).end())
         # a neighbour of the same make belongs to the number too, so a part of a longer one is no span
         whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        if whole and _well_formed(text[a:b], KINDS[kind]):
+        if whole and _well_formed(text[a:b], KINDS[kind]) and (not out or a >= out[-1][1]):
             out.append((a, b, KINDS[kind]))
 
     for i, tag in zip(at.tolist(), tags.tolist()):

@@ -324,6 +324,13 @@ def test_tagger_learns_and_adds(spark):
     assert "phone" in got[1].spans and got[1].n_phone == 0
 
 
+def test_tagger_takes_long_addresses_whole():
+    spelled = ["christopher.montgomery (at) example (dot) com", "bartholomew_featherstonehaugh-cholmondeley[at]mail.example[dot]com", "ann @ a-rather-long-company-name-of-some-kind.com", "christophermontgomery (at) a-rather-long-company-name-of-some-kind (dot) com"]
+    texts = [f"Please write to {x} soon, as we said." for x in spelled]
+    _, spans = pii.find(texts, pii.trained())
+    assert [pii.mask(t, s) for t, s in zip(texts, spans)] == ["Please write to <EMAIL> soon, as we said."] * len(texts)
+
+
 def test_tagger_gradients():
     x, y = pii.labelled(2, 5)
     t = pii.Tagger(hidden=3)
