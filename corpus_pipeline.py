@@ -45,10 +45,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles at similarity 0.8 connect, the one with the least doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    got = components(docs, 5, 80)
-    stay = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    docs = docs.select(*COLUMNS).withColumn("_own", F.xxhash64("doc_id", "text"))  # tells rows apart where ids repeat or are null
+    got = components(docs, 5, 80, id_col="_own").toDF("_own", "_n", "_component")
+    rows = got.join(docs.groupBy("_own", "doc_id").agg(F.count(F.lit(1)).alias("_rows")), "_own")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_own", "_rows")).alias("_best")
+    stay = rows.groupBy("_component").agg(best).select("_best._own", "_best._rows")
+    kept_rows = docs.join(stay, "_own")
+    # a row that is repeated in full stays once
+    once = kept_rows.where("_rows > 1").dropDuplicates(["_own"])
+    return kept_rows.where("_rows = 1").unionByName(once).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,5 +40,13 @@ def test_stages(spark):
     assert set(five.doc_id) == want and five.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    one, two, far = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(5, one), (9, one + " x"), (9, far), (5, two), (3, two + " x"), (None, one + " y"), (None, "d " * 9), (None, far + " x"), (7, far + " y"), (7, far + " y"), (1, "e f"), (1, "e f")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == collections.Counter([(5, one), (7, far + " y"), (3, two + " x"), (None, "d " * 9), (1, "e f")])
+
+
 def test_names():
     assert [name for name, _ in pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mask_personal_data", "best_fit_packing"]
