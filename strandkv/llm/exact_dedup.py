@@ -1,16 +1,16 @@
 r"""Exact duplicates by content sort.
 
-Splitters sampled from the texts range-partition the rows by (text, id), an external sort inside each range places
-equal texts next to each other, and each row is compared in full with its neighbour. A splitter is the shortest prefix
-that separates two neighbouring samples, so splitters stay short; only where two samples hold the same text does a
-splitter keep the whole text and an id, and so a large group of copies is spread over many ranges. A group can reach
-over a range's edge only there, thus the groups of those few texts are summed up once more.
+Splitters sampled from the texts range-partition the rows by content: by the first characters of the text, then its
+digest, then the id. An external sort inside each range places equal texts next to each other, and each row is compared
+in full with its neighbour. A splitter holds HEAD characters, a digest and an id, however long the texts and however many
+of them begin alike. A splitter cuts a group only where samples before and after it hold the same text, so a large group
+of copies is spread over many ranges; the groups of those few texts are summed up once more.
 
 DataFrame functions only; one shuffle of the texts.
 
-Cases: null text counts as empty; null ids sort first and lose to any other; repeated rows (same id and text) are
-members of the group like any other and one of them stays; an empty table gives an empty result. Other columns of the
-input are ignored, whatever their names.
+Cases: null text counts as empty; null ids lose to any other; repeated rows (same id and text) are members of the group
+like any other and one of them stays; an empty table gives an empty result. Other columns of the input, whatever their
+names, are ignored by ``exact_groups`` and kept by ``exact_kept``.
 """
 
 from __future__ import annotations
@@ -22,115 +22,97 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_parts, stage
 
+HEAD = 100
+Key = tuple[bytes, str, int]  # first characters, digest, id
 
-def _splitters(keys: list[tuple[bytes, int]], parts: int) -> list[tuple[bytes, int | None]]:
-    """From sorted samples: at most parts-1 rising (prefix, None) or, inside a run of equal texts, (text, id)."""
+
+def _splitters(keys: list[Key], parts: int) -> list[Key]:
+    """From sorted samples: at most parts-1 rising ones; the id is the least possible but inside a run of equal texts."""
     step, out = max(1, math.ceil(len(keys) / parts)), []
     for i in range(step, len(keys), step):
-        (a, _), (b, n) = keys[i - 1], keys[i]
-        if a == b:
-            out.append((b, n))
-        else:
-            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            out.append((b[: same + 1], None))
-    # a prefix cut at i may equal a later whole text's start; keep strictly rising ones
-    rising: list[tuple[bytes, int | None]] = []
-    order = lambda s: (s[0], s[1] is not None, s[1] or 0)
-    for s in out:
-        if not rising or order(s) > order(rising[-1]):
-            rising.append(s)
-    return rising
-
-
-def _range_of(text: Column, doc: Column, splitters: Column, n: int) -> Column:
-    """Number of splitters at or below (text, id), by binary search in a literal array."""
-    at_or_below = lambda s: (s["t"] < text) | ((s["t"] == text) & (s["d"].isNull() | (s["d"] <= doc)))
-    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
+        head, sha, d = keys[i]
+        s = (head, sha, d if keys[i - 1][:2] == (head, sha) else -(2**63))
+        if not out or s > out[-1]:
+            out.append(s)
+    return out
+
+
+def _range_of(key: Column, splitters: Column, n: int) -> Column:
+    """Number of splitters at or below the key, by binary search in a literal array."""
 
     def halve(lo_hi: Column, _: Column) -> Column:
         lo, hi = lo_hi["lo"], lo_hi["hi"]
         mid = F.floor((lo + hi) / 2).cast("int")
         open_ = lo < hi
-        below = at_or_below(F.get(splitters, mid))
+        below = F.get(splitters, mid) <= key
         return F.struct(F.when(open_ & below, mid + 1).otherwise(lo).alias("lo"), F.when(open_ & ~below, mid).otherwise(hi).alias("hi"))
 
     first = F.struct(F.lit(0).cast("int").alias("lo"), F.lit(n).cast("int").alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, halve, lambda x: x["lo"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(n + 1)) + 1))), first, halve, lambda x: x["lo"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", parts: int | None = None, per_part: int = 4, samples: int = 40) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: list[str], parts: int, per_part: int, samples: int) -> tuple[DataFrame, DataFrame]:
+    """The rows sorted, and of the groups that may reach over a range's edge (at most one for each splitter) _hk, the
+    digest, _hbest, the id that stays, and _hn, the number of rows. The rows' columns: _id, _d (the id, or what stands for null), _sha, _split (whether the group may reach over a range's edge), _p (the
+    range), _new (1 for the first row of a text in its range, the one that stays there), _run and the struct _c."""
+    least = -(2**63) + 1 if keep == "largest" else 2**63 - 1  # stands for a null id, which loses
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_c"))
+    rows = rows.withColumns({"_d": F.coalesce(F.col("_id"), F.lit(least)), "_sha": F.sha2("_text", 256)})
+    key = [F.substring("_text", 1, HEAD), F.col("_sha"), F.col("_d")]
 
-    keep: "largest" or "smallest" identifier of a group stays. parts: shuffle partitions; each takes ``per_part``
-    ranges, found from about ``samples`` sampled texts a partition.
-    """
-    spark = docs.sparkSession
-    parts = parts or shuffle_parts(spark)
-    least = -(2**63) if keep == "largest" else 2**63 - 1  # stands for a null id, which loses
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_d", F.coalesce(F.col("_id"), F.lit(least)))
-
-    n = rows.count()  # from the files' footers
+    n = docs.count()  # from the files' footers
     wanted = parts * samples
-    sampled = stage(rows.sample(min(1.0, wanted / max(n, 1)), 7) if n > wanted else rows, "dedup-sample").withColumn("_s", F.sha2("_text", 256))
-    # the driver gets the first characters of the sampled texts; where many share them, more, until they part or end
-    size, enough, known, open_, whole = 200, max(1, samples // per_part), [], None, set()
-    while open_ is None or open_:
-        some = sampled if open_ is None else sampled.where(F.substring("_text", 1, size // 10).isin(open_))
-        got = [(r["h"], r["n"], r["_s"], r["_d"]) for r in some.select(F.substring("_text", 1, size).alias("h"), F.length("_text").alias("n"), "_s", "_d").collect()]
-        by_head: dict[str, list] = {}
-        for g in got:
-            by_head.setdefault(g[0], []).append(g)
-        open_ = []
-        for head, own in by_head.items():
-            if len(own) > enough and any(len(head) < g[1] for g in own):
-                open_.append(head)
-            else:
-                known += own
-                if len(own) > enough:
-                    whole.add(head.encode())
-        size *= 10
-    keys = sorted((head.encode(), d) for head, _, _, d in known)
-    cut = [x for x in _splitters(keys, parts * per_part) if x[1] is None or x[0] in whole]
-
-    kind = "array<struct<t:string,d:bigint>>"
-    # a cut prefix may end inside a character: take it as far as whole characters go
-    tidy: list[tuple[str, int | None]] = []
-    for t, d in cut:
-        s = t.decode("utf-8", "ignore")
-        if not tidy or (s.encode(), d is not None, d or 0) > (tidy[-1][0].encode(), tidy[-1][1] is not None, tidy[-1][1] or 0):
-            tidy.append((s, d))
-    if tidy:
-        literal = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(d).cast("long").alias("d")) for t, d in tidy]).cast(kind)
-        rows = rows.withColumn("_p", _range_of(F.col("_text"), F.col("_d"), literal, len(tidy)))
+    # the sample is bounded: about ``samples`` keys of HEAD characters a partition
+    got = (rows.sample(min(1.0, wanted / max(n, 1)), 7) if n > wanted else rows).select(key[0].alias("h"), "_sha", "_d").collect()
+    keys = sorted((r["h"].encode(), r["_sha"], r["_d"]) for r in got)
+    cut = _splitters(keys, parts * per_part)
+    split = sorted({sha for _, sha, d in cut if d > -(2**63)})
+    if cut:
+        literal = F.array(*[F.struct(F.lit(h.decode()).alias("h"), F.lit(sha).alias("s"), F.lit(d).cast("long").alias("d")) for h, sha, d in cut])
+        rows = rows.withColumn("_p", _range_of(F.struct(key[0].alias("h"), key[1].alias("s"), key[2].alias("d")), literal, len(cut)))
     else:
         rows = rows.withColumn("_p", F.lit(0))
-    split = sorted({t for t, d in tidy if d is not None})  # texts whose groups may reach over a range's edge
-    in_split = F.col("_text").isin(split) if split else F.lit(False)
-    rows = rows.withColumn("_h", F.when(in_split, F.sha2("_text", 256)))
-
-    order = Window.partitionBy("_p").orderBy("_text", "_d")
+    order = Window.partitionBy("_p").orderBy("_text", F.col("_d").desc() if keep == "largest" else F.col("_d").asc())
+    best = (F.max if keep == "largest" else F.min)("_d")
+    is_split = F.col("_sha").isin(split) if split else F.lit(False)
+    sums = rows.select("_sha", "_d").where(is_split).groupBy(F.col("_sha").alias("_hk")).agg(best.alias("_hbest"), F.count(F.lit(1)).alias("_hn"))
     runs = (
         rows.repartitionById(parts, F.col("_p"))
         .withColumn("_new", F.when(F.lag("_text").over(order) == F.col("_text"), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("_id", "_d", F.sha2("_text", 256).alias("_sha"), "_p", "_run", "_h")
+        .withColumn("_split", is_split)
+        .drop("_text")
     )
-    runs = stage(runs, "exact-runs")
-    group = Window.partitionBy("_p", "_run")
+    return runs, sums
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", parts: int | None = None, per_part: int = 4, samples: int = 40) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    keep: "largest" or "smallest" identifier of a group stays. parts: shuffle partitions; each takes ``per_part``
+    ranges, found from about ``samples`` sampled texts a partition.
+    """
+    runs, _ = _sorted(docs, id_col, text_col, keep, [], parts or shuffle_parts(docs.sparkSession), per_part, samples)
+    runs = stage(runs.drop("_c"), "exact-runs")
+    # pre-aggregated by range: what a run holds, and over the ranges' edges the groups that were cut; at most one row for
+    # each splitter is broadcast
     best = F.max if keep == "largest" else F.min
-    got_all = runs.withColumn("_best", best("_d").over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
-    got_all = got_all.withColumn("_first", F.row_number().over(group.orderBy(F.col("_d").desc() if keep == "largest" else F.col("_d").asc())))
-    if split:
-        sums = runs.where(F.col("_h").isNotNull()).groupBy("_h").agg(best("_d").alias("_hbest"), F.count(F.lit(1)).alias("_hn"))
-        # at most one row per splitter
-        got_all = got_all.join(F.broadcast(sums.withColumnRenamed("_h", "_hk")), F.col("_h") == F.col("_hk"), "left")
-        got_all = got_all.withColumn("_first", F.when(F.col("_hbest").isNull() | (F.col("_hbest") == F.col("_best")), F.col("_first")).otherwise(0))
-        got_all = got_all.withColumn("_best", F.coalesce("_hbest", "_best")).withColumn("_n", F.coalesce("_hn", "_n"))
-    return got_all.select(
+    group = Window.partitionBy("_p", "_run")
+    each = runs.withColumns({"_best": best("_d").over(group), "_n": F.count(F.lit(1)).over(group)})
+    sums = runs.where("_split").groupBy("_sha").agg(best("_d").alias("_hbest"), F.count(F.lit(1)).alias("_hn"))
+    each = each.join(F.broadcast(sums.withColumnRenamed("_sha", "_hk")), F.col("_split") & (F.col("_sha") == F.col("_hk")), "left")
+    found = F.coalesce("_hbest", "_best")
+    return each.select(
         F.col("_id").alias(id_col),
-        F.when(F.col("_best") != least, F.col("_best")).alias("keep_id"),
-        F.col("_n").alias("group_size"),
-        ((F.col("_first") == 1) & (F.col("_d") == F.col("_best"))).alias("kept"),
+        F.when(found.between(-(2**63) + 2, 2**63 - 2), found).alias("keep_id"),
+        F.coalesce("_hn", "_n").alias("group_size"),
+        ((F.col("_new") == 1) & (F.col("_d") == found)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+
+
+def exact_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", parts: int | None = None, per_part: int = 4, samples: int = 40) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    runs, sums = _sorted(docs, id_col, text_col, keep, docs.columns, parts or shuffle_parts(docs.sparkSession), per_part, samples)
+    first = runs.where("_new = 1").join(F.broadcast(sums), F.col("_split") & (F.col("_sha") == F.col("_hk")), "left")
+    return first.where(F.coalesce("_hbest", "_d") == F.col("_d")).select(*(F.col("_c")[c].alias(c) for c in docs.columns))
