@@ -1,15 +1,15 @@
 r"""Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its words (A-Z and all other letters lower-cased) and, for words of five letters or more, their
-first four to seven letters; each is hashed to one of 2^bits columns. Columns whose presence tells the training rows'
-classes apart (a chi-square of at least ``telling``) are kept, the others have no say; a text's value in a kept column
-is log2(1 + count), at most MOST_VALUE. The machine has a bias, a weight for each column and a vector of
-``factors`` for each column, whose products stand for pairs of terms that mean more together than apart. It is trained
-in numpy, by Adam on the logistic loss.
+first four to seven letters; each is hashed to one of 2^bits columns. Columns are kept whose presence tells the training
+rows' classes apart (a chi-square of at least ``telling``), and so are columns that tell them apart only in pairs: of the
+``frequent`` columns in most training rows, those whose presence together has a chi-square of at least ``telling_pair``
+and more than twice that of either alone. A text's value in a kept column is log2(1 + count), at most MOST_VALUE. The
+machine has a bias, a weight for each column and a vector of ``factors`` for each column, whose products stand for pairs
+of terms that mean something else together than apart. It is trained in numpy, by Adam on the logistic loss.
 
-Training takes the labelled rows that the caller passes, at most ``most_rows`` of them, picked by a hash of the id, and
-of each the ``most_terms`` columns of greatest count (bounds of the training sample only). Scoring reads every whole
-text and uses nothing but the text.
+Training takes the whole texts of the labelled rows that the caller passes, at most ``most_rows`` of them, picked by a
+hash of the id (a bound of the training sample only). Scoring reads every whole text and uses nothing but the text.
 
 Cases: null text counts as empty and gets the bias alone; null ids, repeated rows and extra columns don't matter; rows
 without a label aren't trained on; with no labelled rows of both classes every score is the share of toxic rows, or 0.
@@ -107,12 +107,41 @@ def chi_square(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int) -> np.
     return (both - expected) ** 2 / np.maximum(spread, 1e-9)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, factors: int = 8, epochs: int = 30, rate: float = 0.05, shrink: float = 1e-3, telling: float = 16.0, seed: int = 5) -> Model:
+def telling_pairs(rows: list[tuple[np.ndarray, np.ndarray, int]], own: np.ndarray, frequent: int, least: float) -> np.ndarray:
+    """Columns that have a telling pair among the ``frequent`` ones; own: each column's chi-square."""
+    seen = np.zeros(len(own))
+    for at, _, _ in rows:
+        seen[at] += 1
+    cols = np.sort(np.argsort(-seen, kind="stable")[:frequent])
+    cols = cols[seen[cols] > 0]
+    place = np.full(len(own), -1)
+    place[cols] = np.arange(len(cols))
+    x = np.zeros((len(rows), len(cols)), np.float32)
+    for k, (at, _, _) in enumerate(rows):
+        at = place[at]
+        x[k, at[at >= 0]] = 1
+    y = np.array([r[2] for r in rows], np.float32)
+    together = (x.T @ x).astype(float)
+    toxic = (x[y > 0].T @ x[y > 0]).astype(float)
+    n, pos = len(rows), float(y.sum())
+    expected = together * pos / n
+    score = (toxic - expected) ** 2 / np.maximum(expected * (1 - pos / n) * (1 - together / n), 1e-9)
+    alone = own[cols]
+    np.fill_diagonal(score, 0)
+    hit = (score >= least) & (score > 2 * np.maximum(alone[:, None], alone[None, :]))
+    return cols[hit.any(1)]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, factors: int = 8, epochs: int = 30, rate: float = 0.05, shrink: float = 1e-3, telling: float = 16.0, frequent: int = 1024, telling_pair: float = 40.0, seed: int = 5) -> Model:
     """rows: (columns, counts, label 0 or 1)."""
     size, rng = 1 << bits, np.random.default_rng(seed)
     y = np.array([r[2] for r in rows], float)
     share = float(y.mean()) if len(y) else 0.0
-    kept = chi_square(rows, size) >= telling if 0 < share < 1 else np.zeros(size, bool)
+    kept = np.zeros(size, bool)
+    if 0 < share < 1:
+        own = chi_square(rows, size)
+        kept = own >= telling
+        kept[telling_pairs(rows, own, frequent, telling_pair)] = True
     model = Model(bits, kept, math.log((share + 1e-9) / (1 - share + 1e-9)), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not kept.any():
         return model
@@ -146,7 +175,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, factors: in
             gx = g[row] * x
             gw = np.bincount(inverse, gx, len(at)) + shrink * w[at]
             each = gx[:, None] * (s[row] - xv)
-            gv = np.stack([np.bincount(inverse, each[:, f], len(at)) for f in range(v.shape[1])], 1) + shrink * v[at]
+            gv = np.stack([np.bincount(inverse, each[:, f], len(at)) for f in range(v.shape[1])], 1) + 0.1 * shrink * v[at]
             step += 1
             r1, r2 = 1 - 0.9**step, 1 - 0.999**step
             mw[at] = 0.9 * mw[at] + 0.1 * gw
@@ -163,7 +192,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, factors: in
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, use: Column, bits: int, most_rows: int, most_terms: int, label_col: str = "toxic") -> list[tuple[np.ndarray, np.ndarray, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, use: Column, bits: int, most_rows: int, label_col: str = "toxic") -> list[tuple[np.ndarray, np.ndarray, int]]:
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("_y")).where(use).dropDuplicates(["doc_id"])
     n = known.count()
@@ -176,9 +205,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, bits: int, mo
         own = Terms(bits)
         for b in batches:
             got = [own.of(t) for t in b.column(1).to_pylist()]
-            top = [np.sort(np.argsort(-n, kind="stable")[:most_terms]) for _, n in got]
-            at = pa.array([a[k].astype(np.int32) for (a, _), k in zip(got, top)], pa.list_(pa.int32()))
-            times = pa.array([n[k].astype(np.int32) for (_, n), k in zip(got, top)], pa.list_(pa.int32()))
+            at = pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32()))
+            times = pa.array([n.astype(np.int32) for _, n in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), at, times, b.column(2)], ["doc_id", "at", "n", "y"])
 
     out = texts.select("doc_id", "text", "_y").mapInArrow(terms, "doc_id long, at array<int>, n array<int>, y int").toArrow()
@@ -186,9 +214,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, bits: int, mo
     return [(at.astype(np.int64), n.astype(float), y) for _, at, n, y in rows]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, bits: int = 18, most_rows: int = 6000, most_terms: int = 3000, **how) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, bits: int = 18, most_rows: int = 6000, **how) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs``; ``use`` tells which rows of ``labels`` are trained on."""
-    model = train(training_rows(docs, labels, F.lit(True) if use is None else use, bits, most_rows, most_terms), bits, **how)
+    model = train(training_rows(docs, labels, F.lit(True) if use is None else use, bits, most_rows), bits, **how)
     shared = docs.sparkSession.sparkContext.broadcast((model.bits, model.kept, model.bias, model.weights, model.factors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
