@@ -4,8 +4,9 @@ Markup is stripped so that each block element gives one line. Lines inside menus
 sidebars, notices, adverts, forms and comment sections have no weight; neither have lines that are mostly links. The
 other lines weigh as many characters as they have. The weights are summed over sliding windows of lines that have text;
 a surge is a window above the threshold after one that is not, a dive is where the windows are empty again, and the text
-between them is kept. Where the page marks its article (article or main element) only lines in it have weight and any
-weight is a surge; else the threshold is a share of the median weight, 16 characters at most, however long a line is.
+between them is kept. The threshold is a share of the median weight, 16 characters at most, however long a line is. Where
+the page marks its article (article or main element) lines outside of it have no weight; surges and dives choose the
+text there too.
 
 Elements nest as HTML has it, end tags that may be left out (p, li, dt, dd, cells, rows, options) included, and whatever
 is hidden ends at the latest with the element that holds it.
@@ -318,7 +319,7 @@ def main_text(page: str | None, window: int = 3, share: float = 0.1) -> str:
     texts = [text for text, _, _ in lines if text]
     n = len(texts)
     sums = [sum(weight[i : i + window]) for i in range(n)]
-    least = 0 if marked else min(LEAST, share * median_low([w for w in weight if w] or [0]))
+    least = min(LEAST, share * median_low([w for w in weight if w] or [0]))
     kept: list[str] = []
     i = 0
     while i < n:
