@@ -5,9 +5,9 @@ e-mail addresses, IP addresses, card and phone numbers in many written forms, an
 versions, hexadecimal tokens, digit runs) that are no spans; so nothing of the corpus is needed and every run trains
 the same model. All four kinds hold a digit or an at sign (spelled out or not), so the tagger reads the windows of a
 text round those and the whole names and hosts beside an at sign, each window once for all its copies in a batch. Windows
-overlap; each character takes its tag from the window in which it lies furthest from an edge, spans are read from the
-whole document's tags, and an address of which the tagger found the at sign and a part is taken to the ends of its name
-and host.
+overlap; their emissions are combined over the document, each window's say growing with the distance from its edges, and
+one Viterbi pass over all of it, outside of all spans where no window lies, gives the tags. Spans are read from those, and
+an address of which the tagger found the at sign and a part is taken to the ends of its name and host.
 
 A span that the tagger adds must be well formed of its kind (parts at most 255, Luhn, number of digits) and touch no
 base span; base spans always stay.
@@ -81,6 +81,7 @@ def base_spans(text: str) -> list[Span]:
 # --- the tagger
 
 WINDOW, STRIDE, MARGIN = 64, 32, 20
+_RISE = np.arange(1, WINDOW + 1, dtype=np.float32)
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 1 + 2k: first character of kind k; 2 + 2k: a later one
 _LETTER, _OTHER, _PAD = 95, 96, 97
 SYMBOLS = 98
@@ -192,21 +193,41 @@ class Tagger:
             out[:, :, t] = a
         return np.concatenate([out[0], out[1][:, ::-1]], -1)
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tags of each window, by Viterbi."""
-        e = self.states(x) @ self.p["out"] + self.p["bias"]
-        n, w, _ = e.shape
-        score, back = self.p["first"] + e[:, 0], np.empty((n, w, TAGS), np.int8)
-        for t in range(1, w):
-            s = score[:, :, None] + self.p["move"]
-            back[:, t] = s.argmax(1)
-            score = s.max(1) + e[:, t]
-        tags = np.empty((n, w), np.int8)
-        tags[:, -1] = score.argmax(1)
-        rows = np.arange(n)
-        for t in range(w - 1, 0, -1):
-            tags[:, t - 1] = back[rows, t, tags[:, t]]
-        return tags
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """(rows, window, tags)."""
+        return self.states(x) @ self.p["out"] + self.p["bias"]
+
+    def best(self, stretches: list[tuple[np.ndarray, bool, bool]], cells: int = 200_000) -> list[np.ndarray]:
+        """The best tags of whole stretches of text, by Viterbi: (emissions, whether the text starts and ends there). What
+        lies beside a stretch in its text is outside of all spans."""
+        move, out = self.p["move"], [np.empty(0, np.int8)] * len(stretches)
+        order = sorted((k for k, s in enumerate(stretches) if len(s[0])), key=lambda k: -len(stretches[k][0]))
+        while order:
+            w = len(stretches[order[0]][0])
+            part, order = order[: max(1, cells // w)], order[max(1, cells // w) :]
+            n = np.array([len(stretches[k][0]) for k in part])
+            e = np.zeros((w, len(part), TAGS), np.float32)
+            for r, k in enumerate(part):
+                e[: n[r], r] = stretches[k][0]
+            score = e[0] + np.stack([self.p["first"] if stretches[k][1] else move[0] for k in part])
+            back = np.zeros((w, len(part), TAGS), np.int8)
+            live = np.searchsorted(-n, -np.arange(w), "left")  # rows, longest first, that reach beyond a place
+            for t in range(1, w):
+                m = live[t]
+                s = score[:m, :, None] + move
+                back[t, :m] = s.argmax(1)
+                score[:m] = s.max(1) + e[t, :m]
+            score += np.stack([np.zeros(TAGS, np.float32) if stretches[k][2] else move[:, 0] for k in part])
+            tags = np.zeros((w, len(part)), np.int8)
+            last = score.argmax(1).astype(np.int8)
+            rows = np.arange(len(part))
+            tags[n - 1, rows] = last
+            for t in range(w - 1, 0, -1):
+                m = live[t]
+                tags[t - 1, :m] = back[t, rows[:m], tags[t, :m]]
+            for r, k in enumerate(part):
+                out[k] = tags[: n[r], r].copy()
+        return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         p, h = self.p, self.h
@@ -369,27 +390,31 @@ def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger) -> li
     x = np.full((len(number), WINDOW), _PAD)
     for s, k in number.items():
         x[k, : len(s)] = coded(s)
-    tags = np.concatenate([tagger.decode(x[k : k + 2048]) for k in range(0, len(x), 2048)])
-    out = []
-    for text, at, base in zip(texts, need, bases):
-        best: list[Span] = []
+    e = np.concatenate([tagger.emissions(x[k : k + 2048]) for k in range(0, len(x), 2048)])
+    # windows that follow each other cover one stretch; where they overlap, a window's say grows with the distance from
+    # its edges, beyond which it sees nothing
+    places, stretches = [], []
+    for number_, (text, at) in enumerate(zip(texts, need)):
         k = 0
-        while k < len(at):  # windows that follow each other cover one stretch
+        while k < len(at):
             m = k + 1
             while m < len(at) and at[m][0] - at[m - 1][0] <= WINDOW:
                 m += 1
             lo, hi = at[k][0], min(len(text), at[m - 1][0] + WINDOW)
-            deep, got = np.full(hi - lo, -1), np.zeros(hi - lo, np.int8)
+            total, weight = np.zeros((hi - lo, TAGS), np.float32), np.zeros((hi - lo, 1), np.float32)
             for a, w in at[k:m]:
                 n = min(WINDOW, hi - a)
-                depth = np.minimum(np.arange(n) if a else np.full(n, WINDOW), np.arange(n)[::-1] if a + n < len(text) else np.full(n, WINDOW))
-                better = depth > deep[a - lo : a - lo + n]
-                deep[a - lo : a - lo + n][better] = depth[better]
-                got[a - lo : a - lo + n][better] = tags[w, :n][better]
-            best += _spans(text, np.arange(lo, hi), got)
+                say = np.minimum(_RISE[:n] if a else WINDOW, _RISE[:n][::-1] if a + n < len(text) else WINDOW)
+                say = np.broadcast_to(say, n)[:, None]
+                total[a - lo : a - lo + n] += say * e[w, :n]
+                weight[a - lo : a - lo + n] += say
+            places.append((number_, lo))
+            stretches.append((total / weight, lo == 0, hi == len(text)))
             k = m
-        out.append([s for s in best if all(s[1] <= b[0] or s[0] >= b[1] for b in base)])
-    return out
+    best: list[list[Span]] = [[] for _ in texts]
+    for (k, lo), tags in zip(places, tagger.best(stretches)):
+        best[k] += _spans(texts[k], np.arange(lo, lo + len(tags)), tags)
+    return [[s for s in found if all(s[1] <= b[0] or s[0] >= b[1] for b in base)] for found, base in zip(best, bases)]
 
 
 def find(texts: list[str], tagger: Tagger) -> tuple[list[list[Span]], list[list[Span]]]:
