@@ -1,7 +1,8 @@
 """Encoding of whole texts with the tokenizers library, one call for each distinct chunk between spaces.
 
 The rules of a word tokenizer never join characters over a space or a line feed, so a text's ids are its chunks' ids
-in a row. A process keeps the ids of the chunks it has met, up to a bound; the library encodes only the others.
+in a row. A process keeps the ids of the chunks it has met, up to a bound; the library encodes only the others. That
+holds for the rules below, which are compared with those of the file; with any others, whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -16,6 +17,13 @@ _SHARED: dict = {}
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PLAIN = "\u0250"  # below: no combining marks, and each letter's lower case is one letter (but for U+0130)
 
+# fixed values: the rules under which a text's chunks can be encoded apart
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
 
 class ChunkEncoder:
     """Ids of whole texts; ``keep`` bounds the number of chunks remembered, each of at most ``longest`` characters."""
@@ -25,8 +33,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        rules = json.loads(self.library.to_str())
+        self.whole = any(rules[k] != v for k, v in _RULES.items()) or rules["post_processor"] is not None or any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
         # the same merges without the rules that lower-cased letters pass unchanged
-        bare = json.loads(self.library.to_str())
+        bare = rules
         split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": split, "post_processor": None, "added_tokens": []}))
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -76,6 +86,8 @@ class ChunkEncoder:
             self.known.clear()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         distinct: set[str] = set()
         for chunks in split:
