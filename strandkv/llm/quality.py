@@ -6,8 +6,10 @@ limits allow are removed, and a document of which too little is left is rejected
 rules. DataFrame functions only: texts are never shuffled, only line hashes are, pre-aggregated.
 
 Cases: null text counts as empty; a null host is a host of its own; repeated rows each get a result and count once as
-documents; empty texts have zero counts and fail the base rules; an empty table gives an empty result; other columns
-pass through ``quality`` untouched unless they begin with ``_q_``.
+documents; empty texts have zero counts and fail the base rules; an empty table gives an empty result; a very long text
+is one row like any other. Other columns pass through ``quality``; an input column that has the name of a result (n_words,
+word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines, n_left_words, clean_text, kept) is
+replaced by it, and names that begin with ``_q_`` are its own.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def base_counts(df: DataFrame, text: Column) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: Column, text: Column, least_docs: int, percent: int) -> DataFrame:
-    """host -> hashes of lines that more than max(least_docs, percent of the host's) distinct documents hold.
+    """host -> hashes of lines that more than max(least_docs, percent of the host's) distinct documents hold, and its rows.
 
     A host has fewer than 100 / percent times its mean number of lines a document, so an array per host is small.
     """
@@ -66,7 +68,9 @@ def frequent_lines(docs: DataFrame, host: Column, text: Column, least_docs: int,
     counts = stage(each.groupBy("_q_host", "_q_h").agg(F.count(F.lit(1)).alias("_q_n")).where((F.col("_q_n") > least_docs) | F.col("_q_h").isNull()), "line-counts")
     size = counts.where(F.col("_q_h").isNull()).select("_q_host", F.col("_q_n").alias("_q_docs"))
     over = counts.where(F.col("_q_h").isNotNull()).join(size, "_q_host").where(100 * F.col("_q_n") > percent * F.col("_q_docs"))
-    return stage(over.groupBy("_q_host").agg(F.sort_array(F.collect_list("_q_h")).alias("_q_over")), "frequent-lines")
+    rows = docs.groupBy(host.alias("_q_host")).agg(F.count(F.lit(1)).alias("_q_rows"))
+    found = over.groupBy("_q_host").agg(F.sort_array(F.collect_list("_q_h")).alias("_q_over"))
+    return stage(found.join(rows, "_q_host"), "frequent-lines", (counts,))
 
 
 def quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", least_docs: int = 20, percent: int = 10, least_left_percent: int = 20) -> DataFrame:
@@ -78,8 +82,12 @@ def quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", l
     host, text = F.coalesce(F.col(host_col), F.lit("\x00none")), F.coalesce(F.col(text_col), F.lit(""))
     over = frequent_lines(docs, host, text, least_docs, percent)
     df = base_counts(docs.withColumn("_q_host", host), text)
-    # no hint: Catalyst broadcasts the staged table if its files are small enough, else joins by sort and splits skew
-    df = df.join(over, "_q_host", "left")
+    # hosts of more than one in a thousand rows are fewer than a thousand: those are broadcast, so that no task gets all
+    # texts of one; a table of the others that is small is broadcast too, else joined by sort
+    is_hot, small = 1000 * F.col("_q_rows") > docs.count(), ["_q_host", "_q_over"]
+    hot, cold = over.where(is_hot).select(small), over.where(~is_hot).select(small)
+    rest = df.join(F.broadcast(hot.select("_q_host")), "_q_host", "left_anti").join(cold, "_q_host", "left")
+    df = df.join(F.broadcast(hot), "_q_host").unionByName(rest)
     gone = lambda x: F.coalesce(F.array_contains("_q_over", F.xxhash64(_normal(x))), F.lit(False))
     df = df.withColumn("_q_gone", F.when(F.col("_q_over").isNull(), F.array().cast("array<string>")).otherwise(F.filter("_q_lines", gone)))
     df = df.withColumn("n_removed_lines", F.size("_q_gone").cast("long"))
@@ -89,8 +97,3 @@ def quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", l
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_left_words") >= least_left_percent * F.col("n_words")))
     return df.drop("_q_host", "_q_over", "_q_gone", "_q_lines", "_q_text")
 
-
-def kept(got: DataFrame) -> DataFrame:
-    """The rows of ``quality`` that are kept. The row number keeps the optimizer from pushing the filter below the
-    projections, where it would copy their expressions into itself again and again."""
-    return got.withColumn("_q_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_q_row") >= 0)).drop("_q_row")
