@@ -2,17 +2,19 @@ r"""Byte-level BPE over a table of ranks, and its inverse.
 
 Texts are split by the pattern in Python; the distinct words of the corpus and their counts are then a table, and Spark
 higher-order functions encode each word once: an array of its bytes is folded, each step joining the neighbours whose
-concatenation has the lowest rank, until no two have one. Ranks are a literal: an array of small maps, picked by a
-hash, as a map's own look-up is linear. Decoding joins the binary pieces of ids.
+concatenation has the lowest rank and looking up the pairs beside them, until no two have one. Ranks are a literal: an
+array of small maps, picked by a hash, as a map's own look-up is linear. Decoding joins the binary pieces of ids: by
+``decode_ids`` in Spark, and in ``encode_documents``, which has the ids in Python, by the same table there.
 
-Words go back to the documents through a dictionary sent to every executor. Its size is checked, about 20 bytes a word: it takes the words met
-at least m times, where m is the least number that leaves at most ``most_words``. The other words, if any, are joined
-to the documents that hold them by a shuffle, so no word is lost and nothing grows without bound.
+Words go back to the documents through a dictionary sent to every executor. Its size is checked, about 20 bytes a word:
+it takes the words met at least m times, where m is the least number that leaves at most ``most_words``. The other words,
+if any, are joined to the documents that hold them by a shuffle, so no word is lost and nothing grows without bound.
 
 Bytes stand as characters U+0000 to U+00FF in Spark strings (ISO-8859-1).
 
 Cases: null text counts as empty and has no ids; null ids, repeated rows and extra columns pass; an empty table gives
-an empty result; a very long word is folded like any other.
+an empty result; a very long word is folded in the parts that no merge can join, a run of letters that merges can join
+throughout in one, in time that grows with the square of its length.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, small_batches, stage
+from .common import release, shuffle_parts, small_batches, stage
 
 BUCKETS = 1 << 15
 
@@ -54,25 +56,45 @@ def _rank(ranks: Column, piece: Column) -> Column:
     return F.element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
 
 
+def _let(value: Column, body) -> Column:
+    """let x = value in body(x)"""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+NONE = 2**31 - 1  # the rank of what is no piece
+
+
 def fold(ranks: Column, word: Column) -> Column:
-    """The pieces of ``word`` (bytes as ISO-8859-1 characters) after all ranked merges."""
+    """The pieces of ``word`` (bytes as ISO-8859-1 characters) after all ranked merges.
 
-    def best(parts: Column) -> Column:
-        """The lowest rank of two neighbours and where they are; null if none has one."""
-        pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.concat(p, F.get(parts, i + 1)))
-        return F.array_min(F.filter(F.transform(pairs, lambda p, i: F.struct(_rank(ranks, p).alias("r"), i.alias("i"), p.alias("p"))), lambda x: x["r"].isNotNull()))
+    The state is the array of pieces and the array of ranks that neighbours would have together; a step joins the two of
+    lowest rank and looks up only the pairs beside them anew."""
+
+    def rank(a: Column, b: Column) -> Column:
+        return F.coalesce(_rank(ranks, F.concat(a, b)), F.lit(NONE))
 
     def merge(state: Column, _: Column) -> Column:
-        parts, at = state["parts"], state["best"]
-        merged = F.concat(F.slice(parts, F.lit(1), at["i"]), F.array(at["p"]), F.slice(parts, at["i"] + 3, F.size(parts)))
-        # get(transform(array(x), f), 0) is "let x in f"
-        step = F.get(F.transform(F.array(merged), lambda m: F.struct(m.alias("parts"), F.when(F.size(m) > 1, best(m)).alias("best"))), 0)
-        return F.when(at.isNull(), state).otherwise(step)
-
-    split = F.split(word, "")
-    parts = F.when(F.length(word) < 2, F.array(word)).otherwise(F.slice(split, F.lit(1), F.length(word)))
-    first = F.get(F.transform(F.array(parts), lambda m: F.struct(m.alias("parts"), F.when(F.size(m) > 1, best(m)).alias("best"))), 0)
-    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), first, merge, lambda s: s["parts"])
+        def at(i: Column) -> Column:
+            i, parts, pairs = i.cast("int"), state["parts"], state["pairs"]
+
+            def joined(m: Column) -> Column:
+                left, right = F.get(parts, i - 2), F.get(parts, i + 1)
+                beside = F.array_compact(F.array(F.when(left.isNotNull(), rank(left, m)), F.when(right.isNotNull(), rank(m, right))))
+                return F.struct(
+                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(m), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+                    F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), beside, F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
+                )
+
+            return _let(F.concat(F.get(parts, i - 1), F.get(parts, i)), joined)
+
+        low = F.array_min(state["pairs"])
+        return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(_let(F.array_position(state["pairs"], low), at))
+
+    n = F.length(word)
+    parts = F.when(n < 2, F.array(word)).otherwise(F.slice(F.split(word, ""), F.lit(1), n))
+    pairs = lambda p: F.when(F.size(p) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: rank(x, F.get(p, i + 1))))
+    first = _let(parts, lambda p: F.struct(p.alias("parts"), pairs(p).alias("pairs")))
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), first, merge, lambda s: s["parts"])
     # a word that is a piece itself is one id, as the merges may not lead there
     return F.when(_rank(ranks, word).isNotNull(), F.array(word)).otherwise(folded)
 
@@ -93,32 +115,63 @@ def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """How many pieces the merges leave of a short string."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while len(parts) > 1:
+        low, k = min((ranks.get(a + b, NONE), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+        if low == NONE:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return len(parts)
+
+
+class Joints:
+    """side: which two bytes stand side by side in some piece, 256 x 256; no merge ever crosses any other two.
+    odd: pieces to which merges don't lead, so that they are one id only as a word of their own."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.side = np.zeros((256, 256), bool)
+        for piece in ranks:
+            b = np.frombuffer(piece, np.uint8)
+            self.side[b[:-1], b[1:]] = True
+        self.odd = frozenset(x for x in ranks if len(x) > 2 and merged(x, ranks) > 1)
+
+
 class Splitter:
     """Words of a text by the pattern. White space runs with what follows are cut out first: a word never reaches from
-    other characters into white space, so their words are found once each and remembered."""
+    other characters into white space, so their words are found once each. A long word is given in parts, cut where no
+    merge can cross, so that its merges are few at a time."""
 
     SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def __init__(self, pattern: str, keep: int = 300_000):
+    def __init__(self, pattern: str, joint: Joints, long: int = 32):
         import re
 
         import regex
 
         self.unit = re.compile(f"[{self.SPACE}]*[^{self.SPACE}]+|[{self.SPACE}]+")
-        self.word, self.keep, self.known = regex.compile(pattern), keep, {}
+        self.word, self.joint, self.long = regex.compile(pattern), joint, long
 
     def units(self, text: str | None) -> list[str]:
         return self.unit.findall(text or "")
 
     def words(self, unit: str) -> list[bytes]:
-        return [w.encode("utf-8", "surrogatepass") for w in self.word.findall(unit)]
+        out = [w.encode("utf-8", "surrogatepass") for w in self.word.findall(unit)]
+        return out if len(unit) <= self.long else [x for w in out for x in (self.parts(w) if len(w) > self.long else (w,))]
+
+    def parts(self, word: bytes) -> list[bytes]:
+        b = np.frombuffer(word, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.joint.side[b[:-1], b[1:]]) + 1).tolist(), len(word)]
+        out = [word[x:y] for x, y in zip(cuts, cuts[1:])]
+        return out if self.joint.odd.isdisjoint(out) else [word]
 
 
-def distinct_words(docs: DataFrame, pattern: str, most: int = 400_000) -> DataFrame:
+def distinct_words(docs: DataFrame, pattern: str, joint: Joints, most: int = 400_000) -> DataFrame:
     """word binary, n long, of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, units, words = Splitter(pattern), Counter(), Counter()
+        split, units, words = Splitter(pattern, joint), Counter(), Counter()
 
         def flush(all_: bool) -> Iterator[pa.RecordBatch]:
             for u, n in units.items():
@@ -152,28 +205,120 @@ def _packed(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(ends).astype("<u4"), ids)], ["h", "n", "ids"])
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] numbers, then those of the next."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class Dictionary:
     """Ids of words, about 20 bytes a word: sorted hashes, ends, ids. A word's ids are checked by decoding them."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray):
+    def __init__(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray, portion: int = 200_000):
         order = np.argsort(h, kind="stable")
         start = (np.cumsum(n, dtype=np.int64) - n)[order]
         self.hashes, n = h[order], n[order]
-        self.ends = np.cumsum(n, dtype=np.int64)
-        self.ids = ids[np.repeat(start - self.ends + n, n) + np.arange(len(ids))]
-
-    def get(self, word: bytes, pieces) -> bytes | None:
-        """Little-endian 32-bit ids."""
+        self.ends, self.ids = np.cumsum(n, dtype=np.int64), np.empty_like(ids)
+        for k in range(0, len(n), portion):  # some words at a time, as places take more than ids
+            own = n[k : k + portion].astype(np.int64)
+            end = int(self.ends[k + len(own) - 1])
+            self.ids[end - int(own.sum()) : end] = ids[_ranges(start[k : k + portion], own)]
+
+    def find(self, words: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word start, and how many; none for an unknown word."""
         import xxhash
 
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        k = int(np.searchsorted(self.hashes, h))
-        while k < len(self.hashes) and self.hashes[k] == h:
-            ids = self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
-            if b"".join([pieces[i] for i in ids.tolist()]) == word:
-                return ids.astype("<u4").tobytes()
-            k += 1
-        return None
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        at = np.searchsorted(self.hashes, h)
+        start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        open_ = np.arange(len(words))
+        while True:  # words of one hash follow each other
+            open_ = open_[at[open_] < len(self.hashes)]
+            open_ = open_[self.hashes[at[open_]] == h[open_]]
+            if not len(open_):
+                return start, n
+            k = at[open_]
+            a = np.where(k > 0, self.ends[k - 1], 0)
+            back = pieces.split(self.ids[_ranges(a, self.ends[k] - a)], self.ends[k] - a)
+            same = np.fromiter((x == words[i] for x, i in zip(back, open_.tolist())), bool, len(open_))
+            start[open_[same]], n[open_[same]] = a[same], (self.ends[k] - a)[same]
+            open_ = open_[~same]
+            at[open_] += 1
+
+
+class Pieces:
+    """The bytes of all ids, one after the other."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for piece, rank in ranks.items():
+            sizes[rank] = len(piece)
+        self.sizes, self.start = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
+    def split(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of runs of ids."""
+        raw = self.bytes[_ranges(self.start[ids], self.sizes[ids])].tobytes()
+        ends = np.append(0, np.cumsum(self.sizes[ids]))[np.cumsum(counts)]
+        return [raw[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())]
+
+
+class Units:
+    """Ids of the units met, up to a bound: a number for each, and arrays of where its ids are."""
+
+    def __init__(self, split: Splitter, book: Dictionary, pieces: Pieces, keep: int = 400_000):
+        self.split, self.book, self.pieces, self.keep = split, book, pieces, keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.n, self.ids, self.size = [], [], [], 0
+
+    def learn(self, units: set[str], rare: dict[bytes, list[int]]) -> None:
+        new = [u for u in units if u not in self.known]
+        if not new:
+            return
+        words = [self.split.words(u) for u in new]
+        flat = [w for x in words for w in x]
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        distinct = list(number)
+        start, n = self.book.find(distinct, self.pieces)
+        table = self.book.ids
+        other = np.flatnonzero(n == 0).tolist()
+        if other:  # the rare ones stand after the dictionary
+            more = [rare[distinct[i]] for i in other]
+            n[other] = [len(x) for x in more]
+            start[other] = len(table) + np.cumsum(n[other]) - n[other]
+        at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        where = _ranges(start[at], n[at])
+        ids = table[np.minimum(where, max(len(table) - 1, 0))].astype(np.uint32) if len(table) else np.zeros(len(where), np.uint32)
+        if other:
+            beyond = where >= len(table)
+            ids[beyond] = np.concatenate([np.array(x, np.uint32) for x in more])[where[beyond] - len(table)]
+        per = np.fromiter(map(len, words), np.int64, len(words))
+        sizes = np.diff(np.append(0, np.cumsum(n[at]))[np.append(0, np.cumsum(per))])
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        self.start.append(self.size + np.cumsum(sizes) - sizes)
+        self.n.append(sizes)
+        self.ids.append(ids)
+        self.size += len(ids)
+
+    def encode(self, texts: list[str | None], rare: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of each text."""
+        units = [self.split.units(t) for t in texts]
+        self.learn(set().union(*units), rare)
+        for parts in (self.start, self.n, self.ids):  # one array of each
+            parts[:] = [np.concatenate(parts)] if parts else []
+        per = np.fromiter(map(len, units), np.int64, len(units))
+        if not per.sum():
+            return np.zeros(0, np.uint32), np.zeros(len(units), np.int64)
+        at = np.fromiter((self.known[u] for x in units for u in x), np.int64, int(per.sum()))
+        n = self.n[0][at]
+        ids = self.ids[0][_ranges(self.start[0][at], n)]
+        counts = np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(per))])
+        if len(self.known) > self.keep or self.size > 20 * self.keep:
+            self.clear()
+        return ids, counts
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 5_000_000, with_ids: bool = False) -> DataFrame:
@@ -181,8 +326,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(ranks_path)
+    joint = Joints(ranks)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = stage(encode_words(distinct_words(docs, pattern), ranks), "encoded-words")
+    words = stage(encode_words(distinct_words(docs, pattern, joint), ranks), "encoded-words")
     # how many words have each count, counts above a million together
     levels = words.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     total, least = 0, 1_000_001
@@ -193,45 +339,30 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         least = r["n"]
     is_frequent = F.least("n", F.lit(1_000_000)) >= least
     whole = total <= most_words
-    dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+    dtype = np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
     # at most most_words words of about 20 bytes
     top = words.where(is_frequent).select("word", "ids").mapInArrow(lambda batches: _packed(batches, dtype), "h binary, n binary, ids binary").collect()
     join = lambda c, kind: np.frombuffer(b"".join([r[c] for r in top]), kind)
-    book = spark.sparkContext.broadcast(Dictionary(join("h", "<u8"), join("n", "<u4"), join("ids", dtype)))
+    blobs = join("h", "<u8"), join("n", "<u4"), join("ids", dtype)
     del top
-    pieces = spark.sparkContext.broadcast([b for b, _ in sorted(ranks.items(), key=lambda x: x[1])] if sorted(ranks.values()) == list(range(len(ranks))) else {v: k for k, v in ranks.items()})
+    book = Dictionary(*blobs)
+    del blobs
+    release(spark)
+    shared = spark.sparkContext.broadcast((joint, book, Pieces(ranks)))
+    del book
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, dictionary, table = Splitter(pattern), book.value, pieces.value
-        known: dict[str, tuple[bytes, bytes]] = {}
-
-        def unit(u: str, rare: dict[bytes, bytes]) -> tuple[bytes, bytes]:
-            out, common = [], True
-            for w in split.words(u):
-                got = dictionary.get(w, table)
-                if got is None:
-                    got, common = rare[w], False
-                out.append(got)
-            ids = b"".join(out)
-            pair = ids, b"".join(table[i] for i in np.frombuffer(ids, "<u4").tolist())
-            if common and len(u) <= 64:
-                if len(known) >= split.keep:
-                    known.clear()
-                known[u] = pair
-            return pair
-
+        joint_, book_, pieces = shared.value
+        units = Units(Splitter(pattern, joint_), book_, pieces)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            rares = [{}] * len(texts) if whole else [{x["word"]: np.array(x["ids"], "<u4").tobytes() for x in r or ()} for r in b.column(2).to_pylist()]
-            rows = []
-            for t, rare in zip(texts, rares):
-                got = [known.get(u) or unit(u, rare) for u in split.units(t)]
-                ids, back = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), np.frombuffer(ids, "<u4").astype(np.int32) if with_ids else None, back if with_ids else None))
-            cols = list(zip(*rows)) or [()] * 5
-            arrays = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
+            rare = {} if whole else {x["word"]: x["ids"] for r in b.column(2).to_pylist() for x in r or ()}
+            ids, counts = units.encode(b.column(1).to_pylist(), rare)
+            ends = np.append(0, np.cumsum(counts))
+            back = pieces.split(ids, counts)
+            hashes = [hashlib.sha256(ids[x:y].astype("<u4")).hexdigest() for x, y in zip(ends.tolist(), ends[1:].tolist())]
+            arrays = [b.column(0), pa.array(counts), pa.array(hashes, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
             if with_ids:
-                arrays += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.binary())]
+                arrays += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(back, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
@@ -240,23 +371,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         return docs.mapInArrow(assemble, kind)
 
     def rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, dictionary, table = Splitter(pattern), book.value, pieces.value
-        known: dict[str, list[bytes]] = {}
+        joint_, book_, pieces = shared.value
+        split = Splitter(pattern, joint_)
         for b in batches:
-            keys, words_ = [], []
-            for key, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist()):
-                found: set[bytes] = set()
-                for u in set(split.units(t)):
-                    got = known.get(u)
-                    if got is None:
-                        got = [w for w in split.words(u) if dictionary.get(w, table) is None]
-                        if len(known) >= split.keep:
-                            known.clear()
-                        known[u] = got
-                    found.update(got)
-                keys += [key] * len(found)
-                words_ += found
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int32()), pa.array(words_, pa.binary())], ["k1", "k2", "word"])
+            found = [{w for u in set(split.units(t)) for w in split.words(u)} for t in b.column(2).to_pylist()]
+            distinct = list(set().union(*found))
+            _, n = book_.find(distinct, pieces)
+            unknown = {w for w, k in zip(distinct, n.tolist()) if not k}
+            rare = [(i, w) for i, x in enumerate(found) for w in x & unknown]
+            at = pa.array([i for i, _ in rare], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([w for _, w in rare], pa.binary())], ["k1", "k2", "word"])
 
     # a text's hashes, 96 bits together, are the key: equal texts share their rare words, and nothing hangs on doc_id
     # being unique

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
+import weakref
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +18,15 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, the warehouse on a cluster,
+    which is shared too, and a temporary folder in local mode, where all tasks run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = set_by_hand.get() if set_by_hand.isDefined() else None
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="strandkv-")
+        local = spark.sparkContext.master.startswith("local")
+        at = "file://" + tempfile.mkdtemp(prefix="strandkv-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/strandkv-stages"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -34,13 +40,57 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Folders of staged tables, and those still to be removed at exit.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LEFT: set[str] = set()
+
+
+def _clear(spark: SparkSession) -> None:
+    while _LEFT:
+        remove(spark, _LEFT.pop())
+
+
+def stage(df: DataFrame, name: str, drop: tuple[DataFrame, ...] = (), **options: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    drop: staged tables that nothing after this one reads; they are removed once this one is written, and the shuffle
+    files of finished jobs with them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _LEFT:
+        atexit.register(_clear, spark)
+    _LEFT.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    if drop:
+        discard(*drop)
+    return out
+
+
+def behind(df: DataFrame, staged: DataFrame) -> DataFrame:
+    """``df``, which reads ``staged`` alone, so that dropping it drops that."""
+    _FOLDERS[df] = _FOLDERS[staged]
+    return df
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables, and the shuffle files of finished jobs."""
+    for df in staged:
+        path = _FOLDERS.pop(df, None)
+        if path:
+            _LEFT.discard(path)
+            remove(df.sparkSession, path)
+    release(staged[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's collector find the plans that are done: Spark then deletes their shuffle files on all executors.
+    The last job's plan is held a moment longer, by events on their way to listeners, hence the second call."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -50,6 +100,41 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 30, 27, 31))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads all bits."""
+    a, b, c, d, e = _MIX
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> c)) * a
+        x = (x ^ (x >> d)) * b
+        return x ^ (x >> e)
+
+
+def five_bytes(h: np.ndarray) -> bytes:
+    """The low five bytes of each hash."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows``, ``total`` of them, joined to ``table`` on the key, inner; table: key, unique, n, how many of the rows
+    have it, and other columns.
+
+    Keys that more than one in ``share`` rows have are fewer than ``share``, however many rows there are: those are
+    broadcast, so that no task gets all rows of one key; the others are joined by a shuffle."""
+    is_hot = F.col("n") * share > total
+    hot, cold = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def shuffle_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
