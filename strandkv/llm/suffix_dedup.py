@@ -11,12 +11,13 @@ Sorting every suffix of the corpus would send each many times, so only those tha
 2. Anchors that two or more documents hold go back to their documents, which send the bytes round each: all strings
    of ``length`` bytes whose anchor it is. Equal surroundings in one task are sent once, for the document of least id.
 3. A range's surroundings are one text, whose suffixes are sorted deep-shallow: multikey quicksort by eight-byte
-   characters to a shallow depth, then blind tries, which branch on the bytes where members of a group first differ,
-   order the groups that share a longer prefix. Neighbours that agree on ``length`` bytes are equal strings; those of
+   characters to a shallow depth, then a blind trie for each group that shares a longer prefix: members are compared
+   once with a leaf, leave its path by a branch, and go on in a trie of their own, blind to the bytes above. Neighbours that agree on ``length`` bytes are equal strings; those of
    documents above the least id among them are marked.
 4. Marks go back to their documents, where the covered bytes are removed.
 
-Copies of a whole text are found first by digest: only the document of least id is searched, the others lose all.
+What is equal in full needs no sorting and is pre-aggregated: of equal texts, found by digest, only the document of least
+id is searched, the others lose all; of equal surroundings in one task only those of the least document are sorted.
 
 Cases: null text counts as empty; a null id counts as larger than any other; rows that repeat an id are one document
 for this purpose and don't remove each other's bytes; texts shorter than ``length`` stay; an empty table gives an empty
@@ -33,21 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, small_batches, stage
+from .common import five_bytes, from_five, look_up, mixed, shuffle_parts, small_batches, stage
 
 U = np.uint64
-_A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+_A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 GRAM = 24
 NULL_ID = 2**63 - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * _B
-        x = (x ^ (x >> U(27))) * _C
-        return x ^ (x >> U(31))
-
-
 def eights(data: np.ndarray) -> np.ndarray:
     """At each position the eight bytes from there as a big-endian number; zeros follow the end."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
@@ -75,9 +69,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         return np.empty(0, np.int64), np.empty(0, U)
     e = eights(data)
     with np.errstate(over="ignore"):
-        h = _mix(e[: n - GRAM + 1] * _A)
+        h = mixed(e[: n - GRAM + 1] * _A)
         for k in range(8, GRAM, 8):
-            h = _mix(h ^ (e[k : n - GRAM + 1 + k] * _B + U(k)))
+            h = mixed(h ^ (e[k : n - GRAM + 1 + k] * _B + U(k)))
     low = _sliding(h, w, True)  # of each string of ``length`` bytes
     # strings that cross documents have no say
     start = np.arange(len(low))
@@ -110,44 +104,46 @@ def deep_shallow(text: np.ndarray, suffixes: np.ndarray, depth: int, shallow: in
         key = key[order]
         g = group[tied]
         new[tied[1:]] |= (key[1:] != key[:-1]) & (g[1:] == g[:-1])
-    # blind tries of the groups that are still tied, all at once, a level a round: members are compared with the
-    # group's first to find where they first differ, bytes before that are skipped, and the group branches there
-    group = np.cumsum(new) - 1
-    sizes = np.bincount(group)
-    open_ = np.flatnonzero(sizes[group] > 1)
-    while len(open_):
-        g = group[open_]
-        first = np.append(True, g[1:] != g[:-1])
-        head = at[open_[first]]
-        which = np.cumsum(first) - 1
-        skip = np.full(len(open_), depth)
-        left = np.arange(len(open_))
-        for d in range(0, depth, 8):
-            a, b = e[at[open_[left]] + d], e[head[which[left]] + d]
-            if d + 8 > depth:
-                cut = U(8 * (d + 8 - depth))
-                a, b = a >> cut << cut, b >> cut << cut
+    return blind_tries(e, at, new, depth, shallow)
+
+
+def blind_tries(e: np.ndarray, at: np.ndarray, new: np.ndarray, depth: int, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders the groups of ``at`` that agree on ``known`` bytes, all groups at once; ``new`` starts a group.
+
+    Each group is a trie whose first leaf is its first member. A round compares every member with that leaf, once, from
+    the known depth on: where it first differs, and by which eight bytes, is the branch at which it leaves the leaf's
+    path. Members that leave by the same branch go on as a trie of their own, blind to the bytes above it; members that
+    agree with the leaf in full stay beside it.
+    """
+    deep = np.full(len(at), known)  # bytes on which a member is known to agree with its group
+    done = np.zeros(len(at), bool)
+    while True:
+        group = np.cumsum(new) - 1
+        open_ = np.flatnonzero((np.bincount(group)[group] > 1) & ~done) if len(at) else at
+        if not len(open_):
+            return at, new
+        first = np.flatnonzero(np.append(True, group[open_][1:] != group[open_][:-1]))
+        leaf = np.repeat(at[open_[first]], np.diff(np.append(first, len(open_))))
+        own, pos = at[open_], deep[open_]
+        branch, side, word = np.full(len(own), depth), np.zeros(len(own), np.int8), np.zeros(len(own), U)
+        left = np.arange(len(own))
+        while len(left):
+            left = left[pos[left] < depth]
+            cut = np.maximum(pos[left] + 8 - depth, 0).astype(U) * U(8)  # bytes beyond the depth have no say
+            a, b = e[own[left] + pos[left]] >> cut, e[leaf[left] + pos[left]] >> cut
             other = a != b
-            skip[left[other]] = d
+            leave = left[other]
+            branch[leave], word[leave], side[leave] = pos[leave], a[other], np.where(a[other] < b[other], -1, 1)
             left = left[~other]
-            if not len(left):
-                break
-        branch = np.minimum.reduceat(skip, np.flatnonzero(first))[which]
-        live = branch < depth  # a group whose members agree in full is a leaf
-        open_, branch, g = open_[live], branch[live], g[live]
-        if not len(open_):
-            break
-        key = e[at[open_] + branch]
-        cut = np.maximum(branch + 8 - depth, 0).astype(U) * U(8)
-        key = key >> cut << cut
-        order = np.lexsort((key, g))
-        at[open_] = at[open_[order]]
-        key = key[order]
-        new[open_[1:]] |= (key[1:] != key[:-1]) & (g[1:] == g[:-1])
-        group = np.cumsum(new) - 1
-        sizes = np.bincount(group)
-        open_ = open_[sizes[group[open_]] > 1]
-    return at, new
+            pos[left] += 8
+        # on the smaller side who leaves first comes first, on the larger side last
+        turn = branch * -side.astype(np.int64)
+        order = np.lexsort((word, turn, side, group[open_]))
+        at[open_] = own[order]
+        branch, side, word = branch[order], side[order], word[order]
+        new[open_[1:]] |= (group[open_][1:] == group[open_][:-1]) & ((side[1:] != side[:-1]) | (branch[1:] != branch[:-1]) | (word[1:] != word[:-1]))
+        deep[open_] = branch + 8
+        done[open_] = side == 0
 
 
 def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,17 +197,6 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h << U(16)) >> U(24)
 
 
-def _five(h: np.ndarray) -> bytes:
-    """Short hashes in five bytes each."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _eight(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _by_text(d: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Runs of marked starts, those that touch made one, as a row for each document and text."""
     order = np.lexsort((a, k, d))
@@ -242,8 +227,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     # whole copies: of equal texts only the document of least id takes part, the others lose all strings
     same = wide.select("d", "k", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    least = same.groupBy("sha").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    lost = stage(same.join(least, "sha").where(F.col("d") > F.col("least")).select("d", "k", "n"), "whole-copies")
+    same = stage(same, "digests")
+    least = same.groupBy("sha").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lost = look_up(same.withColumnRenamed("n", "bytes"), least, "sha", same.count()).where(F.col("d") > F.col("least"))
+    lost = stage(lost.select("d", "k", F.col("bytes").alias("n")), "whole-copies")
     # an id all of whose rows are copies of smaller ones has nothing more to find
     done = same.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).join(lost.groupBy("d").agg(F.count(F.lit(1)).alias("lost")), "d").where("rows = lost").select("d")
 
@@ -262,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             r = (h >> U(48)).astype(np.int64) % ranges
             order = np.argsort(r, kind="stable")
             d, r = d[order], r[order]
-            short = _short(h[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            short = np.frombuffer(five_bytes(_short(h[order])), np.uint8).reshape(-1, 5)
             base = int(d.min())
             d = (d - base).astype("<u4") if int(d.max()) - base < 1 << 32 else d
             cuts = np.searchsorted(r, np.arange(ranges + 1))
@@ -286,7 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         hs, ds, rs = [], [], []
         for b in batches:
             for r, x, y, base in zip(*(c.to_pylist() for c in b.columns)):
-                hs.append(_eight(x))
+                hs.append(from_five(x))
                 ds.append(np.frombuffer(y, "<u4").astype(np.int64) + base if len(y) == 4 * len(hs[-1]) else np.frombuffer(y, np.int64))
                 rs.append(np.full(len(hs[-1]), r))
         if not hs:
@@ -305,11 +292,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         cuts = np.append(at, len(d))
         for k in range(0, len(ids), 5000):
             some = [slice(cuts[i], cuts[i + 1]) for i in range(k, min(k + 5000, len(ids)))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5000]), pa.array([_five(h[x]) for x in some], pa.binary()), pa.array([_five(h[x][many[x]]) for x in some], pa.binary())], ["d", "h", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5000]), pa.array([five_bytes(h[x]) for x in some], pa.binary()), pa.array([five_bytes(h[x][many[x]]) for x in some], pa.binary())], ["d", "h", "many"])
 
     packed = wide.select("d", "text").mapInArrow(send_anchors, "r int, h binary, d binary, base long")
     found = packed.repartitionById(ranges, F.col("r")).mapInArrow(shared_anchors, "d long, h binary, many binary")
-    found = stage(found.join(done, "d", "left_anti").groupBy("d").agg(F.collect_list("h").alias("h"), F.collect_list("many").alias("many")), "shared-anchors")
+    found = stage(found.join(done, "d", "left_anti").groupBy("d").agg(F.collect_list("h").alias("h"), F.collect_list("many").alias("many")), "shared-anchors", (same,))
 
     # 2. surroundings of shared anchors; equal ones in a task are sent for the least document, the others marked here
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,11 +325,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             whole = b"".join(raw)
             at, h = anchors(np.frombuffer(whole, np.uint8), ends, length)
             doc = np.searchsorted(ends, at, "right")
-            lists, many = ([_eight(b"".join(x)) for x in b.column(c).to_pylist()] for c in (3, 4))
-            cuts = np.searchsorted(doc, np.arange(len(raw) + 1))
+            lists, many = ([from_five(b"".join(x)) for x in b.column(c).to_pylist()] for c in (3, 4))
             short = _short(h)
-            keep = np.concatenate([np.isin(short[x:y], lists[i]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])
-            over = np.concatenate([np.isin(short[x:y], many[i]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])[keep]
+            mine = short | (doc.astype(U) << U(40))  # five bytes of hash, then the place of the document in the batch
+            keep, over = (np.isin(mine, np.concatenate([x | (U(i) << U(40)) for i, x in enumerate(own)])) for own in (lists, many))
+            over = over[keep]
             at, h, doc = at[keep], h[keep], doc[keep]
             begin = ends[doc] - np.array([len(x) for x in raw])[doc]
             lo, hi = np.maximum(at - (length - GRAM), begin), np.minimum(at + length, ends[doc])
@@ -427,7 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     kind = "d long, k long, runs binary"
     marks = placed.mapInArrow(mark, kind).union(lost.mapInArrow(whole, kind)).groupBy("d", "k").agg(F.collect_list("runs").alias("runs"))
-    marks = stage(marks, "marks")
+    marks = stage(marks, "marks", (found, lost))
 
     # 4. the result
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
