@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandkv.llm import byte_bpe, exact_dedup, html_text, jaccard, packing, pii, quality, suffix_dedup, token_binary, toxicity
 from strandkv.llm.queries import BYTE_RANKS, ORACLE_SQL, QUERIES, WORD_TOKENIZER
@@ -74,7 +75,9 @@ def test_quality_of_odd_rows(spark, texts):
     assert len(got) == len(texts) and not got[got.n_words < 50].kept.any()
     r = got[got.doc_id == 908].iloc[0]
     assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (18, 72, 18, 0)
-    assert quality.kept(quality.quality(df)).count() == int(quality.quality(df).toPandas().kept.sum())
+    clash = df.withColumns({"n_words": F.lit("own"), "kept": F.lit(7), "clean_text": F.lit(1.5), "other": F.lit("stays")})
+    same_rows(quality.quality(clash, least_docs=2, percent=5).drop("other").toPandas(), got)
+    assert quality.quality(clash).select("other").distinct().count() == 1
 
 
 def test_common_lines_go_and_depleted_documents_are_rejected(spark):
@@ -114,6 +117,50 @@ def test_jaccard(docs, texts, k, percent, how):
     assert collections.Counter((n(r.doc_id), n(r.n_shingles), n(r.component_id)) for r in got.itertuples()) == jaccard_brute(texts, k, percent)
 
 
+def test_machine_is_the_double_loop_over_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Model(8, rng.random(256) < 0.5, 0.3, rng.normal(0, 1, 256), rng.normal(0, 0.4, (256, 5)))
+    for size in (0, 1, 2, 30):
+        at = np.sort(rng.choice(256, size, replace=False))
+        times = rng.integers(1, 20, size).astype(float)
+        x = {int(c): min(np.log2(1 + t), toxicity.MOST_VALUE) for c, t in zip(at, times) if m.kept[c]}
+        z = m.bias + sum(m.weights[c] * v for c, v in x.items())
+        z += sum((m.factors[a] @ m.factors[b]) * x[a] * x[b] for a in x for b in x if a < b)
+        assert abs(m.margin(at, times) - z) < 1e-9
+
+
+def test_pairs_of_terms_are_learnt():
+    """Label: both of two words or neither; apart, neither says anything."""
+    rnd, words = random.Random(3), ["w%s" % "".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(80)]
+    own, rows = toxicity.Terms(16), []
+    for _ in range(900):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append((*own.of(" ".join(rnd.choices(words, k=25) + ["insult"] * a + ["group"] * b)), int(a == b)))
+    m = toxicity.train(rows[:600], 16)
+    right = lambda: np.mean([(m.score(at, t) >= 0.5) == y for at, t, y in rows[600:]])
+    whole = right()
+    m.factors[:] = 0
+    assert whole > 0.95 and right() < 0.8
+
+
+@pytest.mark.parametrize("portion", [1000, 40])
+def test_connected(spark, portion):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(30)] + [(300, 301 + i) for i in range(40)] + [(-5, -5)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = jaccard.connected(spark.createDataFrame(edges, "a long, b long"), "test", portion=portion)
+    assert sorted((r.node, r.root) for r in got.collect()) == sorted((x, root(x)) for x in {x for a, b in edges if a != b for x in (a, b)})
+
+
 def test_part_hashes_meet_for_every_link():
     rnd = np.random.default_rng(2)
     for percent in (80, 90):
@@ -128,6 +175,37 @@ def test_part_hashes_meet_for_every_link():
                     assert len(np.intersect1d(jaccard.part_hashes(a, t), jaccard.part_hashes(b, t)))
 
 
+def test_other_tokenizer_rules_take_whole_texts(tmp_path, texts):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from strandkv.llm.tokens import ChunkEncoder
+
+    with open(WORD_TOKENIZER, encoding="utf-8") as f:
+        rules = json.load(f)
+    assert not ChunkEncoder(WORD_TOKENIZER).whole
+    rules["pre_tokenizer"]["pretokenizers"] = rules["pre_tokenizer"]["pretokenizers"][1:]  # words are no longer parted
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(rules, f)
+    other, library = ChunkEncoder(path), Tokenizer.from_file(path)
+    assert other.whole
+    for (_, t), ids in zip(texts, other.encode([t for _, t in texts])):
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_deep_shallow_orders_suffixes():
+    rng = np.random.default_rng(6)
+    text = np.concatenate([rng.integers(97, 99, 3000), np.tile(rng.integers(97, 123, 40), 20), np.full(300, 97)]).astype(np.uint8)
+    raw = text.tobytes()
+    for depth in (50, 33, 17, 64):
+        at, new = suffix_dedup.deep_shallow(text, np.arange(len(text) - depth + 1), depth)
+        got = [raw[i : i + depth] for i in at.tolist()]
+        assert got == sorted(got) and sorted(at.tolist()) == list(range(len(text) - depth + 1))
+        assert new.tolist() == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_suffix_dedup(docs, texts, hot):
     size, first, top = 50, {}, 2**63 - 1
@@ -228,6 +306,32 @@ def test_byte_bpe(docs, texts, most):
     assert collections.Counter((n(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.itertuples()) == want
 
 
+def test_long_words_are_cut_where_no_merge_crosses():
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(BYTE_RANKS)
+    joint = byte_bpe.Joints(ranks)
+    split = byte_bpe.Splitter(public_tokenizers.PATTERN, joint)
+    pairs = {x[k : k + 2] for x in ranks for k in range(len(x) - 1)}
+    rnd = random.Random(9)
+    for _ in range(20):
+        word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüñ日本語") for _ in range(300))
+        parts = split.words(word)
+        assert b"".join(parts) == word.encode() and len(parts) > 3
+        assert not any(a[-1:] + b[:1] in pairs for a, b in zip(parts, parts[1:]))
+
+
+def test_very_long_words(spark):
+    import public_tokenizers
+    import tiktoken
+
+    rnd = random.Random(4)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(BYTE_RANKS), special_tokens={})
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "x" * 3000, "ab" * 1000 + " " + "=" * 2000]
+    got = byte_bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), KIND), BYTE_RANKS, public_tokenizers.PATTERN, with_ids=True).collect()
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in got} == {i: (enc.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}
+
+
 def test_decode_ids(spark):
     ranks = byte_bpe.read_ranks(BYTE_RANKS)
     df = spark.createDataFrame([([1, 2, 300],), ([],)], "ids array<int>")
@@ -299,6 +403,25 @@ def test_html_long_line_drops_no_other():
     assert html_text.main_text(f"<p>A heading of some words</p>{menu}<p>{long}</p><p>{long}</p><p>{long}</p>{menu}<p>Top</p>{menu}") == f"A heading of some words {long}{long}{long}".strip()
 
 
+def test_html_distribution_chooses():
+    """Window and threshold decide on pages with and without marks: text that stands apart goes or stays with them."""
+    menu = "<ul>" + "<li><a href=x>Go there</a></li>" * 4 + "</ul>"
+    body = "".join(f"<p>Paragraph {k} of the text, with a number of words in it.</p>" for k in range(5))
+    for page in (f"{body}{menu}<p>Ok</p>{menu}{body}", f"<article>{body}<nav>{menu}</nav><p>Ok</p><nav>{menu}</nav>{body}</article>"):
+        plain = html_text.main_text(page)
+        assert " Ok " not in plain and plain.count("Paragraph") == 10
+        assert " Ok " in html_text.main_text(page, share=0.01) and " Ok " in html_text.main_text(page, window=20)
+        assert html_text.main_text(page, share=0.01).replace(" Ok ", " ") == plain
+
+
+def test_html_long_repeated_and_extra(spark):
+    long = "<article>" + "<p>Some words &amp; more of them.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", long, "x", 1), (1, "u", long, "x", 1), (2, "u", "<p>" + "word " * 200_000, "y", 2)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert [r.text for r in got] == [" ".join(["Some words & more of them."] * 20_000)] * 2 + [("word " * 200_000).strip()]
+    assert [(r.page_id, r.n_chars) for r in got] == [(1, 539_999), (1, 539_999), (2, 999_999)]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
@@ -312,10 +435,72 @@ def test_base_spans():
     assert [s[2] for s in pii.base_spans("call +1 (743) 555-3824 or 4111 1111 1111 1111")] == ["phone", "card"]
 
 
+def test_base_cards_and_phones():
+    rnd, seen = random.Random(7), collections.Counter()
+    body = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    for _ in range(600):
+        t = "".join(rnd.choice([" ", "-", "  ", "x", ".", "+", "(", ") ", body(1), body(4), body(4), body(4), body(15), body(16), "4111 1111 1111 1111", "+1 " + body(9)]) for _ in range(7))
+        want = []
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits)))
+            want += [(*m.span(), "card")] if 14 <= len(digits) <= 19 and total % 10 == 0 else []
+        want += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+        seen.update(k for _, _, k in want)
+        assert sorted(s for s in pii.base_spans(t) if s[2] in ("card", "phone")) == sorted(want)
+    assert min(seen["card"], seen["phone"]) > 20
+
+
+def test_best_tags_are_the_best_of_all():
+    """Viterbi against every sequence of tags."""
+    import itertools
+
+    rng, t = np.random.default_rng(3), pii.Tagger(hidden=3)
+    t.p["move"], t.p["first"] = rng.normal(0, 1, t.p["move"].shape), rng.normal(0, 1, pii.TAGS)
+    stretches = [(rng.normal(0, 1, (k, pii.TAGS)), bool(k % 2), k > 2) for k in (4, 1, 3, 2, 4, 0)]
+    for cells in (1, 7, 1000):
+        for (e, starts, ends), got in zip(stretches, t.best(stretches, cells)):
+            def score(tags, e=e, starts=starts, ends=ends):
+                first = t.p["first"] if starts else t.p["move"][0]
+                inside = sum(t.p["move"][a, b] for a, b in zip(tags, tags[1:])) + sum(e[i, k] for i, k in enumerate(tags))
+                return first[tags[0]] + inside + (0 if ends else t.p["move"][tags[-1], 0])
+
+            assert not len(e) or tuple(got) == max(itertools.product(range(pii.TAGS), repeat=len(e)), key=score)
+
+
+def test_overlapping_windows_are_decoded_as_one_text():
+    """A tagger that sees one character at a time gives the tags of the whole text, seams or not."""
+    t = pii.trained()
+    lone = pii.Tagger()
+    lone.p = {**t.p, "again": np.zeros_like(t.p["again"])}
+    lone.p["table"] = t.p["table"].copy()
+    lone.p["table"][:, :, lone.h : 2 * lone.h] = -50  # forgets at once
+    text = "ring 1 " + "743 555 3824 " * 30 + "now"
+    whole = lone.best([(lone.emissions(pii.coded(text)[None])[0], True, True)])[0]
+    want = pii._spans(text, np.arange(len(text)), whole)
+    assert pii.added_spans([text], [[]], lone) == [want]
+
+
+def test_spans_over_the_seams_of_windows():
+    """A number is found wherever it lies in a run of digits that many windows cover."""
+    for k in range(0, 70, 3):
+        text = "on 12 " + "5 or " * k + "call (743) 555-3824 at once, or " + "6 or " * 20
+        (found,) = pii.added_spans([text], [[]], pii.trained())
+        assert [text[a:b] for a, b, kind in found if kind == "phone"] == ["(743) 555-3824"]
+
+
+def test_personal_data_digests(spark):
+    rows = [(1, "a@b.cc and 10.0.0.1, 4111 1111 1111 1111; +1 (743) 555-3824"), (1, "a@b.cc and 10.0.0.1, 4111 1111 1111 1111; +1 (743) 555-3824"), (2, "no one " * 3000 + "x@y.zz")]
+    got = pii.personal_data(spark.createDataFrame([(i, t, 5, "k") for i, t in rows], KIND + ", n_email int, spans string")).collect()
+    want = "email:0:6,ip:11:19,card:21:40,phone:42:59"
+    assert [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in got[:2]] == [(1, 1, 1, 1, 1, hashlib.sha256(want.encode()).hexdigest(), want)] * 2
+    assert got[2].spans == "email:21000:21006"
+
+
 def test_tagger_learns_and_adds(spark):
     tagger = pii.trained()
     x, y = pii.labelled(200, 77)
-    got = tagger.decode(x)
+    got = np.stack(tagger.best([(e, True, True) for e in tagger.emissions(x)]))
     assert (got == y).mean() > 0.95 and (got[y > 0] == y[y > 0]).mean() > 0.75
     rows = [(1, "Please write to ann (at) mail.example (dot) com or ring (743) 555-3824 soon"), (2, None), (3, "clean words only, 12 of them in 1999"), (None, "ip 10.2.3.4 here")]
     got = {n(r.doc_id): r for r in pii.personal_data(spark.createDataFrame(rows, KIND), masked=True).toPandas().itertuples()}
