@@ -50,3 +50,32 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
 
 def test_names():
     assert [name for name, _ in pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mask_personal_data", "best_fit_packing"]
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_odd_rows_pass_through_all_stages(spark):
+    """Null and empty texts, null and repeated ids, a very long text, columns with clashing names."""
+    prose = lambda seed, n: " ".join(f"{seed}w{(seed * 31 + k * 7919) % 100003}" for k in range(n))
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (None, prose(1, 80), "en", "a", 1), (3, prose(2, 80), None, "b", 2), (3, prose(2, 80), None, "b", 2), (3, prose(3, 90), "en", None, 3), (4, prose(4, 90_000), "en", "a", 4), (5, prose(2, 80) + " more", "en", "b", 5), (6, prose(5, 80) + " call +1 (743) 555-3824", "en", "b", 6)]
+    docs = spark.createDataFrame([(*r, "x", 7, "y") for r in rows], KIND + ", kept string, _own int, clean_text string")
+    for name, step in pipeline.STAGES[:-1]:
+        docs = step(spark, docs, SF).cache()
+        got = docs.collect()
+        assert docs.columns == list(pipeline.COLUMNS), name
+        # an added word or two changes too little: the copy of least id stays, and of repeated rows one
+        texts = {"quality_rules": 7, "exact_dedup": 6, "near_dedup": 5, "mask_personal_data": 5}[name]
+        assert len(got) == texts, name
+        docs = docs.withColumns({"_n": docs.doc_id, "_p": docs.text, "spans": docs.text})
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 3), (False, 3), (False, 4), (False, 6), (True, 0)]
+    assert next(r.text for r in got if r.doc_id == 6).endswith("call <PHONE>")
+    packed = pipeline.best_fit_packing(spark, docs, SF).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096 and packed.length.sum() > 90_000
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], KIND)
+    for _, step in pipeline.STAGES:
+        docs = step(spark, docs, SF).cache()
+        assert docs.count() == 0
