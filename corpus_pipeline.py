@@ -3,20 +3,23 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows and reads them again as
 the next one's documents. All stages but the last return the columns of ``documents``.
 
-Rows are told apart by doc_id and text together, so rows that repeat an id are kept or dropped by their own text.
+Cases: null text counts as empty, which the quality rules reject; null ids pass; rows are told apart by doc_id and text
+together, so rows that repeat an id are kept or dropped by their own text, and of rows that repeat in full one stays;
+texts of any length are taken whole; an empty table gives an empty result; columns beside those of ``documents`` are
+left out, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandkv.llm.common import stage
-from strandkv.llm.exact_dedup import exact_groups
+from strandkv.llm.exact_dedup import exact_kept
 from strandkv.llm.jaccard import components
 from strandkv.llm.packing import pack
 from strandkv.llm.pii import personal_data
-from strandkv.llm.quality import kept, quality
+from strandkv.llm.quality import quality
 from strandkv.llm.queries import WORD_TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,31 +32,26 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, lines that too many documents of their host hold go."""
-    got = kept(quality(docs.select(*COLUMNS)))
+    got = quality(docs.select(*COLUMNS))
+    # the number keeps the filter above the projections; pushed into them, it would copy their expressions
+    got = got.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
     return _with_text(got, F.col("clean_text"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.select(*COLUMNS).withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256))
-    got = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    # a row that is repeated in full matches as often; one of it stays
-    first = F.row_number().over(Window.partitionBy("_own").orderBy("doc_id", *COLUMNS[2:]))
-    return got.withColumn("_n", first).where("_n = 1").select(*COLUMNS)
+    return exact_kept(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles at similarity 0.8 connect, the one with the least doc_id stays."""
     docs = docs.select(*COLUMNS).withColumn("_own", F.xxhash64("doc_id", "text"))  # tells rows apart where ids repeat or are null
     got = components(docs, 5, 80, id_col="_own").toDF("_own", "_n", "_component")
-    rows = got.join(docs.groupBy("_own", "doc_id").agg(F.count(F.lit(1)).alias("_rows")), "_own")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_own", "_rows")).alias("_best")
-    stay = rows.groupBy("_component").agg(best).select("_best._own", "_best._rows")
-    kept_rows = docs.join(stay, "_own")
+    rows = got.join(docs.select("_own", "doc_id").distinct(), "_own")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_own")).alias("_best")
+    stay = rows.groupBy("_component").agg(best).select("_best._own")
     # a row that is repeated in full stays once
-    once = kept_rows.where("_rows > 1").dropDuplicates(["_own"])
-    return kept_rows.where("_rows = 1").unionByName(once).select(*COLUMNS)
+    return docs.join(stay, "_own", "left_semi").dropDuplicates(["_own"]).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
