@@ -81,13 +81,14 @@ def quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", l
     """
     host, text = F.coalesce(F.col(host_col), F.lit("\x00none")), F.coalesce(F.col(text_col), F.lit(""))
     over = frequent_lines(docs, host, text, least_docs, percent)
-    df = base_counts(docs.withColumn("_q_host", host), text)
+    df = docs.withColumn("_q_host", host)
     # hosts of more than one in a thousand rows are fewer than a thousand: those are broadcast, so that no task gets all
     # texts of one; a table of the others that is small is broadcast too, else joined by sort
     is_hot, small = 1000 * F.col("_q_rows") > docs.count(), ["_q_host", "_q_over"]
     hot, cold = over.where(is_hot).select(small), over.where(~is_hot).select(small)
     rest = df.join(F.broadcast(hot.select("_q_host")), "_q_host", "left_anti").join(cold, "_q_host", "left")
-    df = df.join(F.broadcast(hot), "_q_host").unionByName(rest)
+    # texts are counted after the joins, so each is counted once, however many ways lead to its host's lines
+    df = base_counts(df.join(F.broadcast(hot), "_q_host").unionByName(rest), text)
     gone = lambda x: F.coalesce(F.array_contains("_q_over", F.xxhash64(_normal(x))), F.lit(False))
     df = df.withColumn("_q_gone", F.when(F.col("_q_over").isNull(), F.array().cast("array<string>")).otherwise(F.filter("_q_lines", gone)))
     df = df.withColumn("n_removed_lines", F.size("_q_gone").cast("long"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -570,3 +571,12 @@ def test_empty_tables(spark, empty):
     assert pii.personal_data(empty).count() == 0
     assert toxicity.toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_quality_counts_each_text_once(spark, texts):
+    """The counts stand above the joins with the hosts' lines: below, both ways to those count all texts."""
+    tree = quality.quality(spark.createDataFrame([(i, "a b c " * 20, f"h{i % 3}") for i in range(90)], "doc_id long, text string, source string"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(re.match(r"[ :+-]*", x)[0]) for x in tree]
+    joins = [(k, d) for k, d in enumerate(depth) if tree[k][d:].startswith("Join")]
+    below = [x for k, d in joins for x, e in zip(tree[k + 1 :], itertools.takewhile(lambda e: e > d, depth[k + 1 :]))]
+    assert joins and not any("sort_array" in x or "array_sort" in x for x in below) and any("n_repeat_words" in x for x in tree)
