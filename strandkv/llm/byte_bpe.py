@@ -205,6 +205,16 @@ def _packed(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(ends).astype("<u4"), ids)], ["h", "n", "ids"])
 
 
+def _gathered(packed: DataFrame, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, numbers of ids and ids of all blobs. A partition is fetched at a time and added to what grows in place,
+    so neither the driver's JVM nor its Python holds them twice."""
+    parts = bytearray(), bytearray(), bytearray()
+    for row in packed.toLocalIterator():
+        for part, blob in zip(parts, row):
+            part += blob
+    return tuple(np.frombuffer(x, kind) for x, kind in zip(parts, ("<u8", "<u4", dtype)))
+
+
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] numbers, then those of the next."""
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -341,12 +351,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     whole = total <= most_words
     dtype = np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
     # at most most_words words of about 20 bytes
-    top = words.where(is_frequent).select("word", "ids").mapInArrow(lambda batches: _packed(batches, dtype), "h binary, n binary, ids binary").collect()
-    join = lambda c, kind: np.frombuffer(b"".join([r[c] for r in top]), kind)
-    blobs = join("h", "<u8"), join("n", "<u4"), join("ids", dtype)
-    del top
-    book = Dictionary(*blobs)
-    del blobs
+    packed = words.where(is_frequent).select("word", "ids").mapInArrow(lambda batches: _packed(batches, dtype), "h binary, n binary, ids binary")
+    book = Dictionary(*_gathered(packed, dtype))
     release(spark)
     shared = spark.sparkContext.broadcast((joint, book, Pieces(ranks)))
     del book
