@@ -213,18 +213,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[root[other]])], ["u", "v"])
 
 
-def connected(edges: DataFrame, name: str, drop: tuple[DataFrame, ...] = (), portion: int = 4_000_000) -> DataFrame:
+def connected(edges: DataFrame, name: str, drop: tuple[DataFrame, ...] = (), portion: int = 1_000_000) -> DataFrame:
     """a, b (any 64-bit numbers) -> node, root (smallest number reachable), for every number in an edge.
 
     Each round turns portions of the edges into forests, a task each; until all are one level deep, a round of joins
     then brings each node's neighbours to the smallest of them. A node that very many edges meet is looked up by broadcast, so
-    its edges stay spread. Every step is written to the shared folder.
+    its edges stay spread. Every step is written to the shared folder. A task takes some 100 bytes an edge of its portion.
     """
     both = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     both = stage(both, name, drop)
     while True:
         portions = max(1, math.ceil(both.count() / portion))
         both = stage(both.repartition(portions, "u", "v").mapInArrow(_forest, "u long, v long"), name, (both,))
+        if portions == 1:  # a forest of all edges is one level deep
+            break
         # done when each node has one edge to a smaller one, which has none
         ends = both.select(F.col("u").alias("x"), F.lit(1).alias("down")).union(both.select("v", F.lit(0)))
         ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
@@ -347,17 +349,23 @@ def _bloom(values: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([mixed(v * _A + U(k)) & U(bits - 1) for k in range(4)])
 
 
+def _in_filter(filled: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter of ``_heads_filter`` lets through; it is read as packed bits, an eighth of a flag each."""
+    p = _bloom(values, len(filled) * 8)
+    return ((filled[p >> U(3)] << (p & U(7)).astype(np.uint8)) & 128).all(0)
+
+
 def _heads_filter(heads: DataFrame, total: int) -> np.ndarray:
     """A Bloom filter of the heads' doc_ids, at most 16 MB; fuller, it lets more documents through."""
     bits = 1 << min(27, max(10, math.ceil(math.log2(16 * total + 1))))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(bits, bool)
+        on = np.zeros(bits // 8, np.uint8)
         for b in batches:
             v = b.column(0).drop_null().to_numpy().astype(np.int64)
             for p in _bloom(v, bits):
-                on[p] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["bits"])
+                np.bitwise_or.at(on, p >> U(3), (U(128) >> (p & U(7))).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([on.tobytes()], pa.binary())], ["bits"])
 
     filled = np.zeros(bits // 8, np.uint8)
     for r in heads.select("doc_id").coalesce(4).mapInArrow(fill, "bits binary").collect():
@@ -466,14 +474,14 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
     block = F.when(F.col("lo").isNull(), -1).otherwise(F.col("lo") + F.pmod(F.xxhash64("cls"), F.col("k"))).cast("int").alias("block")
     heads = stage(heads.join(cuts, ["root", "low"], "left").select("c1", "c2", "doc_id", "cls", "root", block), "heads", (heads,))
     filled = _heads_filter(heads, heads.count())
-    bits, shared = len(filled) * 8, spark.sparkContext.broadcast(filled)
+    shared = spark.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, on = Shingles(n), np.unpackbits(shared.value).view(bool)
+        sh = Shingles(n)
         for b in batches:
             ids = b.column(0)
             v = ids.fill_null(0).to_numpy().astype(np.int64)
-            maybe = on[_bloom(v, bits)].all(0) | ids.is_null().to_numpy(zero_copy_only=False)  # a class of null ids alone is found too
+            maybe = _in_filter(shared.value, v) | ids.is_null().to_numpy(zero_copy_only=False)  # a class of null ids alone is found too
             at = np.flatnonzero(maybe)
             got = [sh.of(b.column(1)[int(k)].as_py()) for k in at]
             keep = [k for k, s in enumerate(got) if len(s)]
@@ -488,7 +496,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
     release(spark)
     inside = both.where("block >= 0")
     if inside.limit(1).count():
-        links = links.union(_across_blocks(inside, links, t, 2 * most_shingles, block_shingles))
+        links = links.union(_across_blocks(inside, links, t, most_shingles, block_shingles))
     links = stage(links.union(equal), "all-links", (both,))
     now = connected(links, "components", (links, equal))
 

@@ -192,6 +192,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             if with_ids:
                 arrays, names = [*arrays, pa.array(cols[5], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        enc.rest()
 
     small_batches(docs.sparkSession)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

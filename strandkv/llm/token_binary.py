@@ -94,6 +94,7 @@ def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         for b in batches:
             ids = [x.tobytes() + end for x in enc.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        enc.rest()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandkv.llm import byte_bpe, exact_dedup, html_text, jaccard, packing, pii, quality, suffix_dedup, token_binary, toxicity
+from strandkv.llm import byte_bpe, exact_dedup, html_text, jaccard, packing, pii, quality, suffix_dedup, token_binary, tokens, toxicity
 from strandkv.llm.queries import BYTE_RANKS, ORACLE_SQL, QUERIES, WORD_TOKENIZER
 
 from ..conftest import SF, same_rows
@@ -580,3 +580,38 @@ def test_quality_counts_each_text_once(spark, texts):
     joins = [(k, d) for k, d in enumerate(depth) if tree[k][d:].startswith("Join")]
     below = [x for k, d in joins for x, e in zip(tree[k + 1 :], itertools.takewhile(lambda e: e > d, depth[k + 1 :]))]
     assert joins and not any("sort_array" in x or "array_sort" in x for x in below) and any("n_repeat_words" in x for x in tree)
+
+
+def test_encoder_rests_with_a_quarter_of_its_chunks(spark):
+    """An idle worker kept up to all of them, while others worked in the same executor."""
+    enc = tokens.ChunkEncoder(WORD_TOKENIZER, keep=400)
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(12)]
+    before = [x.tolist() for x in enc.encode(texts)]
+    assert len(enc.known) > 100
+    enc.rest()
+    assert len(enc.known) <= 100 and [x.tolist() for x in enc.encode(texts)] == before == [x.ids for x in enc.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_heads_filter_is_read_as_packed_bits(spark):
+    ids = [(i * 7919 - 50,) for i in range(2000)] + [(None,)]
+    filled = jaccard._heads_filter(spark.createDataFrame(ids, "doc_id long"), 2001)
+    own = np.array([x for x, in ids[:-1]], np.int64)
+    assert jaccard._in_filter(filled, own).all() and jaccard._in_filter(filled, own * 3 + 1).mean() < 0.1
+
+
+def test_small_edges_need_one_forest(spark, monkeypatch):
+    """With one portion the forest is the answer; it was checked and joined anew by shuffles."""
+    names, stage = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name, *a, **k: (names.append(name), stage(df, name, *a, **k))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 90), (90, 95)], "a long, b long")
+    plan = jaccard.connected(edges, "t")
+    assert {(r["node"], r["root"]) for r in plan.collect()} == {(i, 0) for i in range(51)} | {(x, 90) for x in (90, 95, 100)} and len(names) == 2
+    many = jaccard.connected(edges, "t", portion=7)
+    assert {(r["node"], r["root"]) for r in many.collect()} == {(i, 0) for i in range(51)} | {(x, 90) for x in (90, 95, 100)}
+
+
+def test_dictionary_is_gathered_a_partition_at_a_time(spark):
+    rows = spark.createDataFrame([(b"ab", [1, 2]), (b"c", [3]), (b"def", [4, 5, 70000])], "word binary, ids array<int>").repartition(3)
+    dtype = np.dtype("<u4")
+    h, n, ids = byte_bpe._gathered(rows.mapInArrow(lambda b: byte_bpe._packed(b, dtype), "h binary, n binary, ids binary"), dtype)
+    assert len(h) == 3 and sorted(n.tolist()) == [1, 2, 3] and sorted(ids.tolist()) == [1, 2, 3, 4, 5, 70000]
