@@ -7,11 +7,13 @@ hashes (with fewer words, the whole sequence as one; without words, nothing, and
 2. Two classes at or over the threshold can differ in a bounded number H of shingles. Shingles are dealt by hash into
    more than H parts, so one part at least is equal in both: each class has a hash of each of its parts, for its own
    size and for the sizes of larger classes that it may link with. Parts without shingles are passed over; the number
-   of parts exceeds H by E, and a class with more than E empty parts has those too, so no link is lost. Tasks first
-   join what they hold themselves, so an equal part is sent once a task, however many classes have it, and what is sent
-   is packed by range of hash, five bytes a part and two or four for the class.
-3. Equal parts connect classes into neighbourhoods; every link lies inside one. Only sets in neighbourhoods of two or
-   more are built again and sent, once each.
+   of parts exceeds H by E, and a class with more than E empty parts has those too, so no link is lost. What is sent is
+   packed by range of hash, five bytes a part and two or four for the class.
+3. Classes with an equal part are compared by sketches, the parities of their shingles' counts in as many cells as a set
+   has shingles or more: sketches differ in no more cells than sets do in shingles, so no link is lost, while classes
+   that have a phrase in common and little else stay apart. A part that more than ``most_alike`` classes have connects
+   all of them unseen. What is left connects classes into neighbourhoods; every link lies inside one. Only sets in
+   neighbourhoods of two or more are built again and sent, once each.
 4. In a neighbourhood, sets that share their least tokens form groups; the token-group matrix holds the tokens of each
    group's union. For each set the matrix gives its overlap with every union, which bounds its overlap with each member,
    and only groups that reach the needed overlap are opened and compared in full. Members that are known to be
@@ -123,6 +125,49 @@ def part_hashes(s: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in cells, a power of two of them, from 64 to 32768."""
+    cells = 1 << min(15, max(6, (len(s) - 1).bit_length()))
+    at = mixed(s * _A + U(3)) & U(cells - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def halved(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of half as many cells."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
+def alike(sizes: np.ndarray, sketches: list[bytes], t: Threshold) -> np.ndarray:
+    """Labels (the first member's place) of the sets' components under what sizes and sketches leave open; any two sets
+    that link have one label. sizes rise."""
+    label = np.arange(len(sizes))
+    cells = np.array([len(x) for x in sketches])
+    tables, first = {}, {}
+    for c in np.unique(cells).tolist():  # sketches grow with sets, so those of one length follow each other
+        at = np.flatnonzero(cells == c)
+        tables[c], first[c] = np.frombuffer(b"".join(sketches[i] for i in at), U).reshape(len(at), -1), int(at[0])
+    low = np.searchsorted(100 * sizes, t.p * sizes)  # the first that is large enough to link
+    for q in range(1, len(sizes)):
+        c = int(cells[q])
+        mine = tables[c][q - first[c]]
+        while c in tables and low[q] < first[c] + len(tables[c]):
+            a, b = max(int(low[q]), first[c]), min(q, first[c] + len(tables[c]))
+            if a < b:
+                apart = np.bitwise_count(tables[c][a - first[c] : b - first[c]] ^ mine).sum(1, dtype=np.int64)
+                hits = np.unique(label[a:b][apart * (100 + t.p) <= (sizes[a:b] + sizes[q]) * (100 - t.p)])
+                if len(hits) and (len(hits) > 1 or hits[0] != label[q]):
+                    hits = np.append(hits, label[q])
+                    label[np.isin(label, hits)] = hits.min()
+            if c == 8:
+                break
+            c, mine = c // 2, halved(mine)
+            while c > 8 and c not in tables:
+                c, mine = c // 2, halved(mine)
+    return label
+
+
 class Components:
     """Union-find over 0..n-1; the root is the smallest member."""
 
@@ -244,10 +289,11 @@ def connected(edges: DataFrame, name: str, drop: tuple[DataFrame, ...] = (), por
     return behind(both.select(F.col("u").alias("node"), F.col("v").alias("root")).union(both.select(F.col("v"), F.col("v")).distinct()), both)
 
 
-def _text_sets(docs: DataFrame, n: int, t: Threshold, ranges: int, chunk: int = 2_000_000) -> DataFrame:
+def _text_sets(docs: DataFrame, n: int, t: Threshold, ranges: int, most_alike: int, chunk: int = 2_000_000) -> DataFrame:
     """One table of four kinds of rows, told by ``what``:
-    "doc": doc_id, n, node; "node": node, its class (c1, c2), n, least token (node2) and least doc_id; "edge": node and node2, which share a
-    part in this task; "part": packed hashes (h) of a range (r) and their nodes as offsets (at) from ``node``.
+    "doc": doc_id, n, node; "node": node, its class (c1, c2), n, least token (node2), least doc_id and sketch (h); "edge": node and node2,
+    which share a part that more than most_alike nodes of this task have; "part": packed hashes (h) of a range (r) and their nodes
+    as offsets (at) from ``node``, of a hash that more nodes have most_alike + 1 of them.
 
     A node is a class as one task knows it: a number that no other task gives."""
 
@@ -258,24 +304,28 @@ def _text_sets(docs: DataFrame, n: int, t: Threshold, ranges: int, chunk: int =
         first = node = TaskContext.get().partitionId() << 36
         hashes: list[np.ndarray] = []
         seen: dict[bytes, int] = {}
-        about: list[list] = []  # of each node since first: c1, c2, n, low, least
+        about: list[list] = []  # of each node since first: c1, c2, n, low, least, sketch
         held = 0
 
         def rows(what: str, count: int, **cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([what] * count, pa.string())] + [cols[f.name] if f.name in cols else pa.nulls(count, f.type) for f in kind], ["what", *kind.names])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            c1, c2, sizes, low, least = (pa.array(x, pa.int64()) for x in zip(*about))
-            yield rows("node", len(about), node=pa.array(np.arange(first, node)), c1=c1, c2=c2, n=sizes, node2=low, doc_id=least)
+            *numbers, sketches = zip(*about)
+            c1, c2, sizes, low, least = (pa.array(x, pa.int64()) for x in numbers)
+            yield rows("node", len(about), node=pa.array(np.arange(first, node)), c1=c1, c2=c2, n=sizes, node2=low, doc_id=least, h=pa.array(sketches, pa.binary()))
             h = np.concatenate(hashes)
             c = np.repeat(np.arange(node - first, dtype=np.uint32), [len(x) for x in hashes])
             order = np.argsort(h, kind="stable")
             h, c = h[order], c[order]
-            new = np.append(True, h[1:] != h[:-1])[: len(h)]
-            head = c[new][np.cumsum(new) - 1]
-            pair = np.unique(np.stack([head[~new], c[~new]], 1).astype(np.int64), axis=0)
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            k = np.diff(np.append(start, len(h)))
+            place = np.arange(len(h)) - np.repeat(start, k)
+            many = np.flatnonzero(np.repeat(k > most_alike, k) & (place > 0))
+            pair = np.unique(np.stack([c[many - place[many]], c[many]], 1).astype(np.int64), axis=0)
             yield rows("edge", len(pair), node=pa.array(pair[:, 0] + first), node2=pa.array(pair[:, 1] + first))
-            h, c = h[new], c[new]
+            sent = place <= most_alike
+            h, c = h[sent], c[sent]
             r = ((h >> U(48)) * U(ranges) >> U(16)).astype(np.int64)  # rises with h
             cuts = np.searchsorted(r, np.arange(ranges + 1))
             have = np.flatnonzero(np.diff(cuts)).tolist()
@@ -297,7 +347,7 @@ def _text_sets(docs: DataFrame, n: int, t: Threshold, ranges: int, chunk: int =
                     node += 1
                     hashes.append(part_hashes(s, t))
                     held += len(hashes[-1])
-                    about.append([*np.frombuffer(c, "<i8").tolist(), len(s), int(s[0]) >> 1, doc])
+                    about.append([*np.frombuffer(c, "<i8").tolist(), len(s), int(s[0]) >> 1, doc, sketch_of(s)])
                 elif doc is not None:
                     a = about[k - first]
                     a[4] = doc if a[4] is None else min(a[4], doc)
@@ -315,26 +365,64 @@ def _text_sets(docs: DataFrame, n: int, t: Threshold, ranges: int, chunk: int =
     return docs.select("doc_id", "text").mapInArrow(run, "what string, doc_id long, n long, node long, node2 long, c1 long, c2 long, r int, h binary, at binary")
 
 
-def _equal_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packed parts of whole ranges: pairs of nodes that have a part in common, each range's parts in a star."""
-    hs, cs = [], []
-    for b in batches:
-        for r, x, y, first in zip(*(c.to_pylist() for c in b.columns)):
-            h = from_five(x)
-            hs.append(h ^ (U(r) << U(44)))  # the range is above the five bytes
-            cs.append(np.frombuffer(y, "<u2" if len(y) == 2 * len(h) else "<u4").astype(np.int64) + first)
-    if not hs:
-        return
-    h, c = np.concatenate(hs), np.concatenate(cs)
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    new = np.append(True, h[1:] != h[:-1])
-    head = c[new][np.cumsum(new) - 1]
-    a, b_ = head[~new], c[~new]
-    order = np.lexsort((b_, a))
-    a, b_ = a[order], b_[order]
-    fresh = np.append(True, (a[1:] != a[:-1]) | (b_[1:] != b_[:-1]))[: len(a)]
-    yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b_[fresh])], ["a", "b"])
+def _equal_parts(most_alike: int):
+    """Of packed parts of whole ranges: the nodes that have a part in common; of a part of more than most_alike nodes a star of
+    pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, cs = [], []
+        for b in batches:
+            for r, x, y, first in zip(*(c.to_pylist() for c in b.columns)):
+                h = from_five(x)
+                hs.append(h ^ (U(r) << U(44)))  # the range is above the five bytes
+                cs.append(np.frombuffer(y, "<u2" if len(y) == 2 * len(h) else "<u4").astype(np.int64) + first)
+        if not hs:
+            return
+        h, c = np.concatenate(hs), np.concatenate(cs)
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        k = np.diff(np.append(start, len(h)))
+        for n in np.unique(k[(k > 1) & (k <= most_alike)]).tolist():
+            at = start[k == n]
+            for i in range(0, len(at), max(1, 1_000_000 // n)):
+                found = np.unique(c[at[i : i + max(1, 1_000_000 // n), None] + np.arange(n)], axis=0)
+                yield rows(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * n, pa.int32()), pa.array(found.ravel())))
+        many = np.repeat(k > most_alike, k)
+        if many.any():
+            pair = np.unique(np.stack([np.repeat(c[start], k)[many], c[many]], 1), axis=0)
+            yield rows(None, pair[pair[:, 0] != pair[:, 1]])
+
+    def rows(nodes: pa.Array | None, pair: np.ndarray | None = None) -> pa.RecordBatch:
+        count = len(pair) if nodes is None else len(nodes)
+        ends = [pa.nulls(count, pa.int64())] * 2 if pair is None else [pa.array(pair[:, 0]), pa.array(pair[:, 1])]
+        return pa.RecordBatch.from_arrays([*ends, pa.nulls(count, pa.list_(pa.int64())) if nodes is None else nodes], ["a", "b", "nodes"])
+
+    return run
+
+
+def _open_links(parts: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs that connect the nodes which have a part in common as far as their sketches let them link, for each of
+    ``parts`` (nodes). sketches: node, n, sketch."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b.column(0).offsets.to_numpy()
+            node, n, cells = b.column(0).flatten().flatten()
+            node, n, cells = node.to_numpy(), n.to_numpy(), cells.to_pylist()
+            out = []
+            for x, y in zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist()):
+                order = x + np.argsort(n[x:y], kind="stable")
+                label = alike(n[order], [cells[i] for i in order], t)
+                tied = label != np.arange(y - x)
+                out.append(np.stack([node[order][label[tied]], node[order][tied]], 1))
+            pair = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    # parts of one number would only be compared together
+    each = parts.distinct().select(F.xxhash64("nodes").alias("part"), F.explode("nodes").alias("node"))
+    with_sketch = each.join(sketches, "node").groupBy("part").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("held"))
+    return with_sketch.select("held").mapInArrow(compare, "a long, b long")
 
 
 def class_of(s: np.ndarray) -> bytes:
@@ -446,22 +534,26 @@ def _across_blocks(sets: DataFrame, links: DataFrame, t: Threshold, most_shingle
     return stage(sent.groupBy("root", "block", "portion").applyInArrow(_linked(t), "a long, b long"), "links-across", (open_,))
 
 
-def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", most_shingles: int = 2_000_000, block_shingles: int = 500_000) -> DataFrame:
+def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", most_shingles: int = 2_000_000, block_shingles: int = 500_000, most_alike: int = 4096) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id of all that links reach)."""
     spark, t = docs.sparkSession, Threshold(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(64, 2 * shuffle_parts(spark))
-    made = stage(_text_sets(docs, n, t, ranges), "shingles")
+    made = stage(_text_sets(docs, n, t, ranges, most_alike), "shingles")
     kind = lambda what, *cols: made.where(F.col("what") == what).select(*cols)
-    packed = kind("part", "r", "h", "at", "node").repartitionById(ranges, F.col("r")).mapInArrow(_equal_parts, "a long, b long")
-    edges = stage(packed, "equal-parts")
+    packed = kind("part", "r", "h", "at", "node").repartitionById(ranges, F.col("r")).mapInArrow(_equal_parts(most_alike), "a long, b long, nodes array<long>")
+    shared_parts = stage(packed, "equal-parts")
+    release(spark)
+    sketches = kind("node", "node", "n", F.col("h").alias("sketch"))
+    opened = stage(_open_links(shared_parts.where("nodes is not null").select("nodes"), sketches, t), "open-links")
+    edges = opened.union(shared_parts.where("nodes is null").select("a", "b"))
     rows = stage(kind("doc", "doc_id", "n", "node"), "rows")
     nodes = stage(kind("node", "node", "c1", "c2", "n", F.col("node2").alias("low"), "doc_id"), "nodes")
     # one class: the least of its nodes stands for it
     classes = stage(nodes.groupBy("c1", "c2").agg(F.min("node").alias("cls"), F.min("n").alias("n"), F.min("low").alias("low"), F.min("doc_id").alias("doc_id")), "classes")
     equal = nodes.join(classes.select("c1", "c2", "cls"), ["c1", "c2"]).where(F.col("node") != F.col("cls"))
     equal = stage(equal.select(F.col("cls").alias("a"), F.col("node").alias("b")), "equal")
-    near = connected(edges.union(kind("edge", F.col("node").alias("a"), F.col("node2").alias("b"))).union(equal), "near", (edges, made))
+    near = connected(edges.union(kind("edge", F.col("node").alias("a"), F.col("node2").alias("b"))).union(equal), "near", (opened, shared_parts, made))
 
     # neighbourhoods of two classes or more; their sets are built again, for the document of least id of each
     heads = stage(near.join(classes, F.col("node") == F.col("cls")).select("cls", "root", F.col("n").alias("size"), "low", "doc_id", "c1", "c2"), "heads")

@@ -615,3 +615,43 @@ def test_dictionary_is_gathered_a_partition_at_a_time(spark):
     dtype = np.dtype("<u4")
     h, n, ids = byte_bpe._gathered(rows.mapInArrow(lambda b: byte_bpe._packed(b, dtype), "h binary, n binary, ids binary"), dtype)
     assert len(h) == 3 and sorted(n.tolist()) == [1, 2, 3] and sorted(ids.tolist()) == [1, 2, 3, 4, 5, 70000]
+
+
+def test_jaccard_common_phrases_make_no_neighbourhood(spark, monkeypatch):
+    """Documents that share a phrase with the next one, but don't link, aren't brought together; links are all found."""
+    rng = np.random.default_rng(5)
+    words = [[f"w{k}" for k in rng.integers(0, 10**9, 120)] for _ in range(60)]
+    for a, b in zip(words, words[1:]):
+        b[:12] = a[-12:]
+    words += [[*w[:-1], "other"] for w in words[:5]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+
+    def never(*_):
+        raise AssertionError("a neighbourhood of documents that don't link")
+
+    monkeypatch.setattr(jaccard, "_across_blocks", never)
+    for most in (4096, 0):  # 0: all equal parts connect unseen
+        if most == 0:
+            monkeypatch.undo()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.components(docs, 3, 80, most_shingles=1000, block_shingles=300, most_alike=most).collect()}
+        assert got == {i: i - 60 if i >= 60 else i for i in range(65)}
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for p in (80, 90):
+        t = jaccard.Threshold(p)
+        for n in (1, 3, 64, 65, 130, 1100, 40_000):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            sets = [a]
+            for m in range(1, 6):  # from the same to fewer than link
+                k = max(1, int(len(a) * (1 - m * (100 - p) / 400)))
+                sets += [a[:k], np.unique(np.append(a[:k], rng.integers(0, 2**64, (n - k) // 2, dtype=np.uint64)))]
+            sets.sort(key=len)
+            label = jaccard.alike(np.array([len(s) for s in sets]), [jaccard.sketch_of(s) for s in sets], t)
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    both = len(np.intersect1d(x, y))
+                    assert not t.linked(both, len(x), len(y)) or label[i] == label[j]
+    far = [np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(20)]
+    assert len(set(jaccard.alike(np.full(20, 500), [jaccard.sketch_of(s) for s in far], jaccard.Threshold(80)).tolist())) == 20
