@@ -2,7 +2,9 @@
 
 The rules of a word tokenizer never join characters over a space or a line feed, so a text's ids are its chunks' ids
 in a row. A process keeps the ids of the chunks it has met, up to a bound; the library encodes only the others. That
-holds for the rules below, which are compared with those of the file; with any others, whole texts are encoded.
+holds for the rules below, which are compared with those of the file; with any others, whole texts are encoded. Texts
+of plain letters are lower-cased, and parted before punctuation that follows a letter or digit, before that: the rules do
+both, and far fewer chunks are distinct then.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import json
 import os
+import re
 from array import array
 from itertools import islice
 
@@ -18,6 +21,8 @@ import numpy as np
 _SHARED: dict = {}
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PLAIN = "\u0250"  # below: no combining marks, and each letter's lower case is one letter (but for U+0130)
+_NOT_PLAIN = re.compile("[\u0130\u0250-\U0010ffff]")
+_PART = re.compile(f"[{re.escape(_MARKS)}](?<=[^\\W_].)")  # no match of the rules reaches from a letter or digit into these
 
 # fixed values: the rules under which a text's chunks can be encoded apart
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -49,6 +54,7 @@ class ChunkEncoder:
         bare = rules
         split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": split, "post_processor": None, "added_tokens": []}))
+        self.added = [t["content"].lower() for t in rules["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep, self.longest, self.known = keep, longest, {}
@@ -66,8 +72,9 @@ class ChunkEncoder:
         punctuation is put together from its lower-case letters and its punctuation, which many chunks share.
         """
         known, made, need, letters = self.known, [], set(), set()
-        for c in chunks:
-            if c in known:
+        for c in chunks.difference(known):
+            if c.isascii() and c.isalpha() and c.islower():
+                letters.add(c)
                 continue
             core = c.rstrip(_MARKS)
             if core.isalpha() and (core.isascii() or (max(core) < _PLAIN and "\u0130" not in core)):
@@ -103,10 +110,18 @@ class ChunkEncoder:
             self.known = dict(islice(self.known.items(), few))
             trim()
 
+    def chunks(self, text: str) -> list[str]:
+        """Chunks that have the text's ids in a row."""
+        if text.isascii() or not _NOT_PLAIN.search(text):
+            low = text.lower()
+            if not any(t in low for t in self.added):  # those are found in the text as it is
+                text = _PART.sub(r" \g<0>", low)
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.whole:
             return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self.chunks(t or "") for t in texts]
         distinct: set[str] = set()
         for chunks in split:
             distinct.update(chunks)

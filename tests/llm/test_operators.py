@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -655,3 +656,18 @@ def test_sketches_bound_the_difference():
                     assert not t.linked(both, len(x), len(y)) or label[i] == label[j]
     far = [np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(20)]
     assert len(set(jaccard.alike(np.full(20, 500), [jaccard.sketch_of(s) for s in far], jaccard.Threshold(80)).tolist())) == 20
+
+
+def test_chunks_of_plain_texts_share_their_pieces():
+    """Cases and punctuation make no new chunks; ids are those of whole texts."""
+    enc = tokens.ChunkEncoder(WORD_TOKENIZER)
+    cores = ["tree", "leaf", "été", "don't", "x2", "a_b"]
+    ends = ["", ".", ",", "***", ".'", "!?", "_.", "'s.", "².", "(", "<|", " ."]
+    odd = ["<|EndOfText|> Tree.", "<|endoftext|>tree.", "İstanbul. Tree", "é. Tree.", "Tree\n\nLeaf.\tTree.", "日本. Tree.", "'S.'T", "1.5%x"]
+    odd += [x["content"] + "Tree." for x in json.loads(enc.library.to_str())["added_tokens"]]
+    texts = [" ".join(f(c) + e for c in cores for e in ends) for f in (str, str.upper, str.title)] + odd
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == enc.library.encode(text, add_special_tokens=False).ids, text
+    enc = tokens.ChunkEncoder(WORD_TOKENIZER)
+    enc.encode([" ".join(f(c) + e for c in ("tree", "leaf") for e in (".", ",", "***", "!?")) for f in (str, str.upper, str.title)])
+    assert len(enc.known) <= 6
