@@ -24,6 +24,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import release, shuffle_parts, small_batches, stage
 
 BUCKETS = 1 << 15
+#: The pattern under which letters, and punctuation that follows them, are a word each.
+_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_PLAIN = "\u0250"  # below: letters are the same to Python and to the pattern
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,22 +75,20 @@ def fold(ranks: Column, word: Column) -> Column:
     The state is the array of pieces and the array of ranks that neighbours would have together; a step joins the two of
     lowest rank and looks up only the pairs beside them anew."""
 
-    def rank(a: Column, b: Column) -> Column:
-        return F.coalesce(_rank(ranks, F.concat(a, b)), F.lit(NONE))
+    def rank(*parts: Column) -> Column:
+        return F.coalesce(_rank(ranks, F.concat(*parts)), F.lit(NONE))
 
     def merge(state: Column, _: Column) -> Column:
         def at(i: Column) -> Column:
             i, parts, pairs = i.cast("int"), state["parts"], state["pairs"]
 
-            def joined(m: Column) -> Column:
-                left, right = F.get(parts, i - 2), F.get(parts, i + 1)
-                beside = F.array_compact(F.array(F.when(left.isNotNull(), rank(left, m)), F.when(right.isNotNull(), rank(m, right))))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(m), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), beside, F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
-                )
-
-            return _let(F.concat(F.get(parts, i - 1), F.get(parts, i)), joined)
+            a, b, none = F.get(parts, i - 1), F.get(parts, i), F.array().cast("array<int>")
+            left = F.when(i > 1, F.array(rank(F.get(parts, i - 2), a, b))).otherwise(none)
+            right = F.when(i < F.size(pairs), F.array(rank(a, b, F.get(parts, i + 1)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), i - 1), F.array(F.concat(a, b)), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+                F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
+            )
 
         low = F.array_min(state["pairs"])
         return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(_let(F.array_position(state["pairs"], low), at))
@@ -101,9 +104,9 @@ def fold(ranks: Column, word: Column) -> Column:
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``words`` (word binary) with ids array<int>."""
-    literal = rank_map(ranks)
-    parts = words.withColumn("_parts", fold(literal, F.decode("word", "ISO-8859-1")))
-    return parts.withColumn("ids", F.transform("_parts", lambda p: _rank(literal, p))).drop("_parts")
+    # one literal: each place that names it would be a copy, which every task has to read
+    word = F.decode("word", "ISO-8859-1")
+    return words.withColumn("ids", _let(rank_map(ranks), lambda m: F.transform(fold(m, word), lambda p: _rank(m, p))))
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -152,11 +155,16 @@ class Splitter:
 
         self.unit = re.compile(f"[{self.SPACE}]*[^{self.SPACE}]+|[{self.SPACE}]+")
         self.word, self.joint, self.long = regex.compile(pattern), joint, long
+        self.plain = pattern == _KNOWN
 
     def units(self, text: str | None) -> list[str]:
         return self.unit.findall(text or "")
 
     def words(self, unit: str) -> list[bytes]:
+        if self.plain and len(unit) <= self.long:  # letters after one space or none, then punctuation: most units
+            core = unit.rstrip(_MARKS)
+            if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) and (core.isascii() or max(core) < _PLAIN):
+                return [core.encode()] if len(core) == len(unit) else [core.encode(), unit[len(core) :].encode()]
         out = [w.encode("utf-8", "surrogatepass") for w in self.word.findall(unit)]
         return out if len(unit) <= self.long else [x for w in out for x in (self.parts(w) if len(w) > self.long else (w,))]
 
@@ -284,7 +292,7 @@ class Units:
         self.start, self.n, self.ids, self.size = [], [], [], 0
 
     def learn(self, units: set[str], rare: dict[bytes, list[int]]) -> None:
-        new = [u for u in units if u not in self.known]
+        new = list(units.difference(self.known))
         if not new:
             return
         words = [self.split.words(u) for u in new]
@@ -322,7 +330,7 @@ class Units:
         per = np.fromiter(map(len, units), np.int64, len(units))
         if not per.sum():
             return np.zeros(0, np.uint32), np.zeros(len(units), np.int64)
-        at = np.fromiter((self.known[u] for x in units for u in x), np.int64, int(per.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, int(per.sum()))
         n = self.n[0][at]
         ids = self.ids[0][_ranges(self.start[0][at], n)]
         counts = np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(per))])

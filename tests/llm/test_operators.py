@@ -671,3 +671,25 @@ def test_chunks_of_plain_texts_share_their_pieces():
     enc = tokens.ChunkEncoder(WORD_TOKENIZER)
     enc.encode([" ".join(f(c) + e for c in ("tree", "leaf") for e in (".", ",", "***", "!?")) for f in (str, str.upper, str.title)])
     assert len(enc.known) <= 6
+
+
+def test_byte_bpe_plan_holds_the_ranks_once(spark):
+    ranks = byte_bpe.read_ranks(BYTE_RANKS)
+    words = spark.createDataFrame([(b" tree",)], "word binary")
+    plan = byte_bpe.encode_words(words, ranks)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_words_of_plain_units_are_those_of_the_pattern():
+    import public_tokenizers
+
+    joint = byte_bpe.Joints(byte_bpe.read_ranks(BYTE_RANKS))
+    split = byte_bpe.Splitter(public_tokenizers.PATTERN, joint)
+    assert split.plain
+    cores = ["a", "tree", " tree", "  tree", "\ttree", " ", "été", " ª", "x2", " 2x", "don't", " 's", "日本", "", "ǅ", "_a"]
+    for core in cores:
+        for tail in ("", ".", "...", "'", ".'", "!s", "_", "²", "…", ".…", "'s."):
+            split.plain = True
+            got = split.words(core + tail)
+            split.plain = False
+            assert got == split.words(core + tail), core + tail
