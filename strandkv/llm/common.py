@@ -8,8 +8,10 @@ import tempfile
 import time
 import uuid
 import weakref
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,55 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Bytes of texts that are split at a time.
+PORTION = 8 << 20
+#: ASCII punctuation, without the apostrophe.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_IS_MARK, _IS_ALNUM = (np.array([f(chr(c)) for c in range(256)]) for f in (MARKS.__contains__, lambda c: c.isascii() and c.isalnum()))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, least: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts hold ``least`` bytes: chunks that they share are then looked up once."""
+    own: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        own.append(b)
+        size += b.column(column).nbytes
+        if size >= least:
+            yield pa.concat_batches(own)
+            own, size = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
+
+def portions(column: pa.Array, most: int = PORTION) -> Iterator[tuple[bytes, np.ndarray]]:
+    """UTF-8 bytes of some texts in a row, and where each starts and ends; null counts as empty. One text at least."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield column.buffers()[2][int(offsets[a]) : int(offsets[b])].to_pybytes() if offsets[b] > offsets[a] else b"", offsets[a : b + 1] - offsets[a]
+        a = b
+
+
+def marks_after_letters(x: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are punctuation after a letter or digit of ASCII or after a letter from U+00C0 to U+024F."""
+    letter, out = _IS_ALNUM[x], np.zeros(len(x), bool)
+    at = np.flatnonzero((x >= 0xC3) & (x <= 0xC9))  # all of them letters, but for two signs
+    letter[at[(x[at] != 0xC3) | ((x[at + 1] != 0x97) & (x[at + 1] != 0xB7))] + 1] = True
+    np.logical_and(_IS_MARK[x[1:]], letter[:-1], out=out[1:])
+    return out
+
+
+def slices(x: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The bytes from each start to the next, texts' starts included, and how many come before each text."""
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    at = np.flatnonzero(starts)
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(x)).astype(np.int32)), pa.py_buffer(x)])
+    return found.dictionary_encode(), np.searchsorted(at, offsets)
+
+
 _MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 30, 27, 31))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, small_batches, stage
+from .common import gathered, shuffle_parts, small_batches, stage
 from .tokens import ChunkEncoder
 
 
@@ -179,9 +179,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = ChunkEncoder.shared(path)
         end = np.array([end_id], enc.dtype)
-        for b in batches:
+        for b in gathered(batches):
             rows: list[tuple] = []
-            for doc, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for doc, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 x = np.concatenate([x, end]).astype("<u4")
                 for n, s in enumerate(range(0, len(x), capacity)):
                     part = x[s : s + capacity]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shared_dir, shuffle_parts, small_batches, stage
+from .common import gathered, remove, shared_dir, shuffle_parts, small_batches, stage
 from .tokens import ChunkEncoder, vocabulary
 
 MAGIC = b"TIDX1\0\0\0"
@@ -91,8 +91,8 @@ def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = ChunkEncoder.shared(path)
         end = np.array([] if end_id is None else [end_id], enc.dtype).tobytes()
-        for b in batches:
-            ids = [x.tobytes() + end for x in enc.encode(b.column(1).to_pylist())]
+        for b in gathered(batches):
+            ids = [x.tobytes() + end for x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         enc.rest()
 

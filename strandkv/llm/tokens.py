@@ -5,6 +5,9 @@ in a row. A process keeps the ids of the chunks it has met, up to a bound; the l
 holds for the rules below, which are compared with those of the file; with any others, whole texts are encoded. Texts
 of plain letters are lower-cased, and parted before punctuation that follows a letter or digit, before that: the rules do
 both, and far fewer chunks are distinct then.
+
+Chunks are found in the bytes of some texts at a time, as places in one array; only the distinct ones become Python
+objects.
 """
 
 from __future__ import annotations
@@ -13,16 +16,16 @@ import ctypes
 import json
 import os
 import re
-from array import array
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+
+from .common import MARKS, PORTION, marks_after_letters, portions, slices
 
 _SHARED: dict = {}
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PLAIN = "\u0250"  # below: no combining marks, and each letter's lower case is one letter (but for U+0130)
-_NOT_PLAIN = re.compile("[\u0130\u0250-\U0010ffff]")
-_PART = re.compile(f"[{re.escape(_MARKS)}](?<=[^\\W_].)")  # no match of the rules reaches from a letter or digit into these
+_LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 # fixed values: the rules under which a text's chunks can be encoded apart
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -40,24 +43,38 @@ def trim() -> None:
         pass
 
 
+def _odd(x: np.ndarray, low: bytes, added: list[bytes]) -> np.ndarray:
+    """Places of what makes a text not plain: characters from U+0250 on, U+0130, and added tokens in lower case."""
+    found = [np.array([m.start() for t in added if t in low for m in re.finditer(re.escape(t), low)], np.int64)]
+    if not low.isascii():
+        at = np.flatnonzero(x >= 0xC4)
+        after = x[np.minimum(at + 1, len(x) - 1)]
+        found.append(at[(x[at] >= 0xCA) | ((x[at] == 0xC9) & (after >= 0x90)) | ((x[at] == 0xC4) & (after == 0xB0))])
+    return np.concatenate(found)
+
+
 class ChunkEncoder:
-    """Ids of whole texts; ``keep`` bounds the number of chunks remembered, each of at most ``longest`` characters."""
+    """Ids of whole texts; ``keep`` bounds the number of chunks remembered, each of at most ``longest`` bytes."""
 
-    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 1_500_000, longest: int = 48, portion: int = PORTION):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         rules = json.loads(self.library.to_str())
         self.whole = any(rules[k] != v for k, v in _RULES.items()) or rules["post_processor"] is not None or any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
-        # the same merges without the rules that lower-cased letters pass unchanged
+        # the same merges without the rules that lower-cased letters pass unchanged, over words joined by spaces
         bare = rules
-        split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": split, "post_processor": None, "added_tokens": []}))
-        self.added = [t["content"].lower() for t in rules["added_tokens"]]
+        split = [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": split}, "post_processor": None, "added_tokens": []}))
+        self.added = [t["content"].lower().encode() for t in rules["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.keep, self.longest, self.known = keep, longest, {}
+        end = rules["model"].get("end_of_word_suffix")  # of letters, only a word's last id can have it
+        self.last = np.zeros(max(self.bare.get_vocab().values()) + 1, bool)
+        self.last[[i for t, i in self.bare.get_vocab().items() if end and t.endswith(end)]] = True
+        self.keep, self.longest, self.portion = keep, longest, portion
+        self.known: dict[bytes, int] = {}  # the number of each chunk, in the order met
+        self.ids = pa.array([], pa.binary())  # by number
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
@@ -65,42 +82,50 @@ class ChunkEncoder:
             _SHARED[path] = cls(path)
         return _SHARED[path]
 
-    def learn(self, chunks: set[str]) -> list[str]:
-        """Encodes unknown chunks; gives those too long to be remembered, for ``forget``.
+    def bare_ids(self, words: list[bytes], at_once: int = 500) -> dict[bytes, bytes]:
+        """Ids of lower-case words of plain letters, many in one call where each word's last id tells that it is that."""
+        out, parts = {}, [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for k in range(0, len(parts), 20):
+            some = parts[k : k + 20]
+            for part, e in zip(some, self.bare.encode_batch_fast([b" ".join(p).decode() for p in some], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                    out.update(zip(part, [raw[x:y] for x, y in zip([0, *ends], ends)]))
+                else:
+                    out.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.bare.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)))
+        return out
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of unknown chunks.
 
         The rules part letters from the punctuation after them and lower-case them, so a chunk of plain letters and
         punctuation is put together from its lower-case letters and its punctuation, which many chunks share.
         """
-        known, made, need, letters = self.known, [], set(), set()
-        for c in chunks.difference(known):
-            if c.isascii() and c.isalpha() and c.islower():
-                letters.add(c)
+        letters = [c for c in chunks if c.isalpha() and c.islower()]  # of ASCII
+        ids = self.bare_ids(letters)
+        ids[b""] = b""
+        parts, need, more = [], set(), set()
+        for b in chunks:
+            if b in ids:
                 continue
-            core = c.rstrip(_MARKS)
+            c = b.decode()
+            core = c.rstrip(MARKS)
             if core.isalpha() and (core.isascii() or (max(core) < _PLAIN and "\u0130" not in core)):
-                low, tail = core.lower(), c[len(core) :]
-                made.append((c, low, tail))
-                letters.add(low)
-                need.add(tail)
+                low, tail = core.lower().encode(), c[len(core) :].encode()
+                more.add(low)
             else:
-                need.add(c)
-        new = []
-        for library, group in ((self.library, need), (self.bare, letters)):
-            own = [c for c in group if c not in known]
-            for at in range(0, len(own), 20_000):
-                part = own[at : at + 20_000]
-                for c, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
-                    known[c] = array(self.code, e.ids).tobytes()
-            new += own
-        for c, low, tail in made:
-            known[c] = known[low] + known[tail]
-        return [c for c in [*new, *(m[0] for m in made)] if len(c) > self.longest]
-
-    def forget(self, long: list[str]) -> None:
-        for c in long:
-            self.known.pop(c, None)
-        if len(self.known) > self.keep:
-            self.rest()
+                low, tail = b"", b
+            parts.append((b, low, tail))
+            need.add(tail)
+        ids |= self.bare_ids(list(more.difference(ids)))
+        own = list(need.difference(ids))
+        for at in range(0, len(own), 20_000):
+            part = own[at : at + 20_000]
+            ids.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)))
+        ids.update([(b, ids[low] + ids[tail]) for b, low, tail in parts])
+        return ids
 
     def rest(self) -> None:
         """Goes back to the chunks met first, a quarter of ``keep``: those are the frequent ones. Called at the end of a
@@ -108,28 +133,48 @@ class ChunkEncoder:
         few = self.keep // 4
         if len(self.known) > few:
             self.known = dict(islice(self.known.items(), few))
+            self.ids = self.ids.take(pa.array(np.arange(few)))
             trim()
 
-    def chunks(self, text: str) -> list[str]:
-        """Chunks that have the text's ids in a row."""
-        if text.isascii() or not _NOT_PLAIN.search(text):
-            low = text.lower()
-            if not any(t in low for t in self.added):  # those are found in the text as it is
-                text = _PART.sub(r" \g<0>", low)
-        return text.replace("\n", " ").split(" ")
+    def chunks(self, raw: bytes, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Chunks that have the texts' ids in a row, each with the space before it, and where each text's start."""
+        low = raw.translate(_LOWER)
+        x = np.frombuffer(low, np.uint8)
+        part = marks_after_letters(x)  # no match of the rules reaches from a letter or digit into these
+        odd = np.unique(np.searchsorted(offsets, _odd(x, low, self.added), "right") - 1)
+        if len(odd):  # those stay as they are
+            x = x.copy()
+            for a, b in zip(offsets[odd].tolist(), offsets[odd + 1].tolist()):
+                x[a:b] = np.frombuffer(raw[a:b].replace(b"\n", b" "), np.uint8)
+                part[a:b] = False
+        return slices(x, part | (x == 32), offsets)
+
+    def encode_portion(self, raw: bytes, offsets: np.ndarray) -> list[np.ndarray]:
+        found, first = self.chunks(raw, offsets)
+        distinct = [c[1:] if c[0] == 32 else c for c in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        new = list(set(distinct).difference(self.known))
+        if any(len(c) > self.longest for c in new):  # those last, as they aren't remembered
+            new.sort(key=lambda c: len(c) > self.longest)
+        self.ids = pa.concat_arrays([self.ids, pa.array(list(map(self.learn(new).__getitem__, new)), pa.binary())])
+        self.known.update(zip(new, range(len(self.known), len(self.ids))))
+        own = self.ids.take(pa.array(np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))))
+        all_ = own.take(found.indices)
+        ids = np.frombuffer(all_.buffers()[2] or b"", self.dtype)
+        ends = (np.frombuffer(all_.buffers()[1], np.int32)[first] // self.dtype.itemsize).tolist()
+        while new and len(new[-1]) > self.longest:
+            del self.known[new.pop()]
+        self.ids = self.ids.slice(0, len(self.known))
+        if len(self.known) > self.keep:
+            self.rest()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
         if self.whole:
+            texts = texts if isinstance(texts, list) else texts.to_pylist()
             return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [self.chunks(t or "") for t in texts]
-        distinct: set[str] = set()
-        for chunks in split:
-            distinct.update(chunks)
-        long = self.learn(distinct)
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, chunks)), self.dtype) for chunks in split]
-        self.forget(long)
-        return out
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        return [x for raw, offsets in portions(column, self.portion) for x in self.encode_portion(raw, offsets)]
 
 
 def vocabulary(path: str) -> int:

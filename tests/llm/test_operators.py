@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -693,3 +694,38 @@ def test_words_of_plain_units_are_those_of_the_pattern():
             got = split.words(core + tail)
             split.plain = False
             assert got == split.words(core + tail), core + tail
+
+
+class _Counting:
+    """The library, and how many strings it was given."""
+
+    def __init__(self, library):
+        self.library, self.n = library, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += len(texts)
+        return self.library.encode_batch_fast(texts, **more)
+
+
+def test_words_are_encoded_many_in_a_call():
+    """One call of the library for each word, and look-ups of each occurrence in Python, took op4 beyond its CPU seconds."""
+    enc = tokens.ChunkEncoder(WORD_TOKENIZER)
+    enc.bare = _Counting(enc.bare)
+    words = ["".join(x) for x in itertools.product("abcdefgh", repeat=4)]
+    text = " ".join(words)
+    assert enc.encode([text])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+    assert enc.bare.n < 20 and len(enc.known) == len(words)
+
+
+def test_chunks_in_bytes_of_odd_texts():
+    """Ids are those of whole texts, in a sliced column, over portions of few bytes and with few chunks remembered."""
+    rng = random.Random(4)
+    bits = [*"aZé×÷ÉªÀɏɐİſK9²_.,'(<|>-\n\t\r日😀", "́", "̸", "’", " ", "\x85", "\xa0", "K", "  ", "\n\n", "tree", "Tree", "don't", "'S", "<|endoftext|>", "<|EndOfText|>", "x" * 60, ". ", " ."]
+    texts = [None, "", " ", "\n", *("".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(3000)), None, ""]
+    for more in ({}, {"keep": 40, "portion": 50}, {"longest": 3, "portion": 3000}):
+        enc = tokens.ChunkEncoder(WORD_TOKENIZER, **more)
+        want = [x.ids for x in enc.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in enc.encode(texts)] == want
+        assert [x.tolist() for x in enc.encode(pa.array(["other.", *texts], pa.string()).slice(1))] == want
+        assert len(enc.known) == len(enc.ids) and all(len(c) <= enc.longest for c in enc.known)
+        assert enc.encode([]) == []
