@@ -22,21 +22,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shuffle_parts, small_batches, stage
+from .common import MARKS, gathered, marks_after_letters, portions, release, shuffle_parts, slices, small_batches, stage
 
 BUCKETS = 1 << 15
 #: The pattern under which letters, and punctuation that follows them, are a word each.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PLAIN = "\u0250"  # below: letters are the same to Python and to the pattern
 
 
@@ -141,28 +138,55 @@ class Joints:
         self.odd = frozenset(x for x in ranks if len(x) > 2 and merged(x, ranks) > 1)
 
 
-class Splitter:
-    """Words of a text by the pattern. White space runs with what follows are cut out first: a word never reaches from
-    other characters into white space, so their words are found once each. A long word is given in parts, cut where no
-    merge can cross, so that its merges are few at a time."""
+_IS_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 
-    SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def __init__(self, pattern: str, joint: Joints, long: int = 32):
-        import re
+def white_space(x: np.ndarray, ascii_: bool) -> np.ndarray:
+    """Which bytes of UTF-8 are of white space."""
+    out = _IS_SPACE[x]
+    if ascii_:
+        return out
+    end = len(x) - 1
+    at = np.flatnonzero((x == 0xC2) | ((x >= 0xE1) & (x <= 0xE3)))
+    a, b, c = x[at], x[np.minimum(at + 1, end)], x[np.minimum(at + 2, end)]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    punctuation = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    three = punctuation | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    for k, own in enumerate((two | three, two | three, three)):
+        out[at[own] + k] = True
+    return out
 
+
+class Splitter:
+    """Words of texts by the pattern. White space runs with what follows are cut out first: a word never reaches from
+    other characters into white space, so their words are found once each. By the known pattern, none reaches from a
+    letter or digit into punctuation either. A long word is given in parts, cut where no merge can cross, so that its
+    merges are few at a time."""
+
+    def __init__(self, pattern: str, joint: Joints, long: int = 32):
         import regex
 
-        self.unit = re.compile(f"[{self.SPACE}]*[^{self.SPACE}]+|[{self.SPACE}]+")
         self.word, self.joint, self.long = regex.compile(pattern), joint, long
         self.plain = pattern == _KNOWN
 
-    def units(self, text: str | None) -> list[str]:
-        return self.unit.findall(text or "")
+    def units(self, raw: bytes, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The units of texts in a row, and how many come before each text."""
+        x = np.frombuffer(raw, np.uint8)
+        space = white_space(x, raw.isascii())
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        if self.plain:
+            starts |= marks_after_letters(x)
+        return slices(x, starts, offsets)
+
+    def words_of(self, unit: bytes) -> list[bytes]:
+        if self.plain and len(unit) <= self.long and (unit[1:] if unit[0] == 32 else unit).isalpha():  # of ASCII
+            return [unit]
+        return self.words(unit.decode())
 
     def words(self, unit: str) -> list[bytes]:
         if self.plain and len(unit) <= self.long:  # letters after one space or none, then punctuation: most units
-            core = unit.rstrip(_MARKS)
+            core = unit.rstrip(MARKS)
             if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) and (core.isascii() or max(core) < _PLAIN):
                 return [core.encode()] if len(core) == len(unit) else [core.encode(), unit[len(core) :].encode()]
         out = [w.encode("utf-8", "surrogatepass") for w in self.word.findall(unit)]
@@ -179,23 +203,22 @@ def distinct_words(docs: DataFrame, pattern: str, joint: Joints, most: int = 400
     """word binary, n long, of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, units, words = Splitter(pattern, joint), Counter(), Counter()
-
-        def flush(all_: bool) -> Iterator[pa.RecordBatch]:
-            for u, n in units.items():
-                for w in split.words(u):
-                    words[w] += n
-            units.clear()
-            if words and (all_ or len(words) > most):
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-                words.clear()
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                units.update(split.units(t))
-            if len(units) > most:
-                yield from flush(False)
-        yield from flush(True)
+        split, words = Splitter(pattern, joint), {}
+        for b in gathered(batches, 0):
+            for raw, offsets in portions(b.column(0)):
+                found, _ = split.units(raw, offsets)
+                counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).tolist()
+                for u, n in zip(found.dictionary.to_numpy(zero_copy_only=False).tolist(), counts):
+                    for w in split.words_of(u):
+                        words[w] = words.get(w, 0) + n
+                if len(words) > most:
+                    yield batch(words)
+                    words.clear()
+        if words:
+            yield batch(words)
+
+    def batch(words: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     found = docs.select("text").mapInArrow(count, "word binary, n long")
     # counted before; dealt by number, so that what follows runs in as many tasks
@@ -270,32 +293,38 @@ class Pieces:
         sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for piece, rank in ranks.items():
             sizes[rank] = len(piece)
-        self.sizes, self.start = sizes, np.cumsum(sizes) - sizes
-        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+        self.ends, self.bytes = np.append(0, np.cumsum(sizes)).astype(np.int32), b"".join(sorted(ranks, key=ranks.get))
 
     def split(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of runs of ids."""
-        raw = self.bytes[_ranges(self.start[ids], self.sizes[ids])].tobytes()
-        ends = np.append(0, np.cumsum(self.sizes[ids]))[np.cumsum(counts)]
-        return [raw[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())]
+        table = pa.BinaryArray.from_buffers(pa.binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.bytes)])
+        raw, ends = joined(table, ids)
+        ends = ends[np.append(0, np.cumsum(counts))].tolist()
+        return [raw[x:y] for x, y in zip(ends, ends[1:])]
+
+
+def joined(table: pa.BinaryArray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The values at these places, joined, and where each starts and ends."""
+    if not len(at):
+        return b"", np.zeros(1, np.int32)
+    got = table.take(pa.array(at))
+    ends = np.frombuffer(got.buffers()[1], np.int32)[: len(at) + 1]
+    return (got.buffers()[2].to_pybytes() if ends[-1] else b""), ends
 
 
 class Units:
-    """Ids of the units met, up to a bound: a number for each, and arrays of where its ids are."""
+    """Ids of the units met, up to a bound: a number for each, and its ids."""
 
     def __init__(self, split: Splitter, book: Dictionary, pieces: Pieces, keep: int = 400_000):
         self.split, self.book, self.pieces, self.keep = split, book, pieces, keep
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.n, self.ids, self.size = [], [], [], 0
-
-    def learn(self, units: set[str], rare: dict[bytes, list[int]]) -> None:
-        new = list(units.difference(self.known))
-        if not new:
-            return
-        words = [self.split.words(u) for u in new]
+        self.known: dict[bytes, int] = {}
+        self.ids = pa.array([], pa.binary())  # by number, 4 bytes an id
+
+    def learn(self, new: list[bytes], rare: dict[bytes, list[int]]) -> None:
+        words = list(map(self.split.words_of, new))
         flat = [w for x in words for w in x]
         number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         distinct = list(number)
@@ -313,30 +342,27 @@ class Units:
             beyond = where >= len(table)
             ids[beyond] = np.concatenate([np.array(x, np.uint32) for x in more])[where[beyond] - len(table)]
         per = np.fromiter(map(len, words), np.int64, len(words))
-        sizes = np.diff(np.append(0, np.cumsum(n[at]))[np.append(0, np.cumsum(per))])
-        first = len(self.known)
-        self.known.update(zip(new, range(first, first + len(new))))
-        self.start.append(self.size + np.cumsum(sizes) - sizes)
-        self.n.append(sizes)
-        self.ids.append(ids)
-        self.size += len(ids)
-
-    def encode(self, texts: list[str | None], rare: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        ends = 4 * np.append(0, np.cumsum(n[at]))[np.append(0, np.cumsum(per))]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        own = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+        self.ids = pa.concat_arrays([self.ids, own])
+
+    def encode(self, texts: pa.Array, rare: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of each text."""
-        units = [self.split.units(t) for t in texts]
-        self.learn(set().union(*units), rare)
-        for parts in (self.start, self.n, self.ids):  # one array of each
-            parts[:] = [np.concatenate(parts)] if parts else []
-        per = np.fromiter(map(len, units), np.int64, len(units))
-        if not per.sum():
-            return np.zeros(0, np.uint32), np.zeros(len(units), np.int64)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, int(per.sum()))
-        n = self.n[0][at]
-        ids = self.ids[0][_ranges(self.start[0][at], n)]
-        counts = np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(per))])
-        if len(self.known) > self.keep or self.size > 20 * self.keep:
-            self.clear()
-        return ids, counts
+        ids, counts = [b""], [np.zeros(0, np.int64)]
+        for raw, offsets in portions(texts):
+            found, first = self.split.units(raw, offsets)
+            distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            new = [u for u in distinct if u not in self.known]
+            if new:
+                self.learn(new, rare)
+            own = self.ids.take(pa.array(np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))))
+            part, ends = joined(own, found.indices.to_numpy())
+            ids.append(part)
+            counts.append(np.diff(ends[first] // 4).astype(np.int64))
+            if len(self.known) > self.keep or self.ids.nbytes > 80 * self.keep:
+                self.clear()
+        return np.frombuffer(b"".join(ids), "<u4"), np.concatenate(counts)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 5_000_000, with_ids: bool = False) -> DataFrame:
@@ -368,12 +394,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joint_, book_, pieces = shared.value
         units = Units(Splitter(pattern, joint_), book_, pieces)
-        for b in batches:
+        for b in gathered(batches):
             rare = {} if whole else {x["word"]: x["ids"] for r in b.column(2).to_pylist() for x in r or ()}
-            ids, counts = units.encode(b.column(1).to_pylist(), rare)
+            ids, counts = units.encode(b.column(1), rare)
             ends = np.append(0, np.cumsum(counts))
             back = pieces.split(ids, counts)
-            hashes = [hashlib.sha256(ids[x:y].astype("<u4")).hexdigest() for x, y in zip(ends.tolist(), ends[1:].tolist())]
+            hashes = [hashlib.sha256(ids[x:y]).hexdigest() for x, y in zip(ends.tolist(), ends[1:].tolist())]
             arrays = [b.column(0), pa.array(counts), pa.array(hashes, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
             if with_ids:
                 arrays += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(back, pa.binary())]
@@ -388,13 +414,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         joint_, book_, pieces = shared.value
         split = Splitter(pattern, joint_)
         for b in batches:
-            found = [{w for u in set(split.units(t)) for w in split.words(u)} for t in b.column(2).to_pylist()]
-            distinct = list(set().union(*found))
-            _, n = book_.find(distinct, pieces)
-            unknown = {w for w, k in zip(distinct, n.tolist()) if not k}
-            rare = [(i, w) for i, x in enumerate(found) for w in x & unknown]
-            at = pa.array([i for i, _ in rare], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([w for _, w in rare], pa.binary())], ["k1", "k2", "word"])
+            row = 0
+            for raw, offsets in portions(b.column(2)):
+                units, first = split.units(raw, offsets)
+                words = list(map(split.words_of, units.dictionary.to_numpy(zero_copy_only=False).tolist()))
+                distinct = list({w for x in words for w in x})
+                _, n = book_.find(distinct, pieces)
+                unknown = {w for w, k in zip(distinct, n.tolist()) if not k}
+                own, index = [unknown.intersection(x) for x in words], units.indices.to_numpy()
+                rare = [(row + i, w) for i, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist())) for w in set().union(*map(own.__getitem__, np.unique(index[x:y]).tolist()))]
+                at = pa.array([i for i, _ in rare], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([w for _, w in rare], pa.binary())], ["k1", "k2", "word"])
+                row += len(first) - 1
 
     # a text's hashes, 96 bits together, are the key: equal texts share their rare words, and nothing hangs on doc_id
     # being unique

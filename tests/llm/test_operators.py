@@ -729,3 +729,23 @@ def test_chunks_in_bytes_of_odd_texts():
         assert [x.tolist() for x in enc.encode(pa.array(["other.", *texts], pa.string()).slice(1))] == want
         assert len(enc.known) == len(enc.ids) and all(len(c) <= enc.longest for c in enc.known)
         assert enc.encode([]) == []
+
+
+def test_byte_bpe_units_in_bytes_of_odd_texts():
+    """Units are found in the bytes, each distinct one made once; their words are those of the whole texts."""
+    import public_tokenizers
+    import regex
+
+    rng = random.Random(5)
+    split = byte_bpe.Splitter(public_tokenizers.PATTERN, byte_bpe.Joints(byte_bpe.read_ranks(BYTE_RANKS)), long=10**6)
+    bits = [*"aZé×÷ÉªÀɏɐ9²_.,'(<|>-\n\t\r日😀", "\u0301", "\u2019", "\u2028", "\u3000", "\u1680", "\u205f", "\u2003", "\u200b", "\x85", "\xa0", "\x1c", "  ", "\n\n", "tree", "Tree", "don't", "'S", ". ", " ."]
+    texts = [None, "", " ", *("".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(5000)), None]
+    at = 0
+    for raw, offsets in byte_bpe.portions(pa.array(["other.", *texts], pa.string()).slice(1), 3000):
+        found, first = split.units(raw, offsets)
+        assert len(found.dictionary.unique()) == len(found.dictionary) < len(found)
+        units = [found.dictionary[i].as_py() for i in found.indices.to_pylist()]
+        for a, b in zip(first.tolist(), first[1:].tolist()):
+            assert [w for u in units[a:b] for w in split.words_of(u)] == [w.encode() for w in regex.findall(public_tokenizers.PATTERN, texts[at] or "")], texts[at]
+            at += 1
+    assert at == len(texts)
